@@ -1,0 +1,21 @@
+"""Means whose last bit does not depend on how Spark splits the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+FIXED_POINT = "decimal(24,6)"
+
+
+def exact_mean(value: Column, where: Column | None = None) -> Column:
+    """Mean through a decimal sum and one division; null when nothing counts.
+
+    Money and ratings are decimal data, so a decimal sum is exact and equal on
+    every run, while a sum of doubles changes with the task order. A group with
+    a value too large for the decimal type takes the plain average instead.
+    """
+    kept = value if where is None else F.when(where, value)
+    fixed = kept.try_cast(FIXED_POINT)
+    exact = F.try_divide(F.sum(fixed).cast("double"), F.count(kept).cast("double"))
+    return F.when(F.count(fixed) == F.count(kept), exact).otherwise(F.avg(kept))

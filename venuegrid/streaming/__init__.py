@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+A listing snapshot carries no event time, so there is nothing to watermark or
+window. The package exists only to say so.
+"""
