@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from venuegrid.session import settle
 
 MAX_ROUNDS = 200
+SETTLE_EVERY = 6  # rounds after which the names are written, to keep the plan short
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -19,13 +20,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     forward = edges.where("a <> b").select("a", "b")
     links = settle(forward.unionByName(forward.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    names = settle(links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), "names")
-    for _ in range(MAX_ROUNDS):
+    names = links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
+    for turn in range(1, MAX_ROUNDS + 1):
         if not links.head(1):
             return names
         pointers = links.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to"))
         pointers = settle(_follow(_follow(pointers)).where("to < a"), "pointers")
-        names = settle(_renamed(names, pointers, "component"), "names")
+        names = _renamed(names, pointers, "component")
+        if turn % SETTLE_EVERY == 0:
+            names = settle(names, "names")
         links = _renamed(_renamed(links, pointers, "a"), pointers, "b")
         links = settle(links.where("a <> b").distinct(), "links")
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

@@ -139,8 +139,10 @@ def quantiles(
         at = position(F.col("total"), p)
         low = F.max(F.when(F.col("rank") == F.floor(at), F.col("value").cast("double")))
         high = F.max(F.when(F.col("rank") == F.ceil(at), F.col("value").cast("double")))
-        share = F.max(at - F.floor(at))
-        picked.append((low + (high - low) * share).alias(name))
+        share, gap = F.max(at - F.floor(at)), high - low
+        # From the nearer end, so that the result never leaves [low, high].
+        value = F.when(share < 0.5, low + gap * share).otherwise(high - gap * (1 - share))
+        picked.append(value.alias(name))
     return stats.groupBy(*by).agg(*picked)
 
 
@@ -166,22 +168,33 @@ def value_ranks(
     every row stands for that many rows.
     """
     base, keys, kind = _base(df, by, value, weight)
-    cells = base.groupBy(*keys, log_cell(F.col("_v")).alias("_c")).agg(
-        F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    tally = F.sum("_w") if weight else F.count("*")
+    rows = base.withColumn("_c", log_cell(F.col("_v")))
+    cells = rows.groupBy(*keys, "_c").agg(
+        tally.alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    cells = _locate(cells, keys, ["_c"], F.lit(0))
+    cells = cells.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
     cells = settle(cells.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(leaf_rows))), "cells")
 
-    rows = base.withColumn("_c", log_cell(F.col("_v")))
-    split = null_safe_join(rows, cells, keys + ["_c"])
-    piece = _part(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_parts"), kind)
-    tally = F.sum("_w") if weight else F.count("*")
-    counts = split.groupBy(*keys, "_c", piece.alias("_p"), "_v").agg(tally.alias("equal"))
-
-    sums = counts.groupBy(*keys, "_c", "_p").agg(F.sum("equal").alias("_n"))
-    sums = _locate(sums, keys, ["_c", "_p"], F.lit(0))
-    sums = sums.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
-    leaf = Window.partitionBy(*keys, "_c", "_p").orderBy("_v")
-    counts = counts.withColumn("_run", F.sum("equal").over(leaf) - F.col("equal"))
-    joined = null_safe_join(counts, sums, keys + ["_c", "_p"])
-    below = (F.col("_below") + F.col("_run")).alias("below")
-    return joined.select(*by, F.col("_v").alias(value), "equal", below, "total")
+    wide = (F.col("_lo") < F.col("_hi")) & (F.col("_parts") > 1)
+    if cells.where(wide).head(1):
+        # Cut the large cells into parts and count those, then place rows by part.
+        bounds = cells.select(*keys, "_c", "_lo", "_hi", F.when(wide, F.col("_parts")).otherwise(1).alias("_parts"), "_below", "total")
+        rows = null_safe_join(rows, bounds, keys + ["_c"])
+        piece = _part(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_parts"), kind)
+        rows = rows.withColumn("_p", piece).drop("_lo", "_hi", "_parts")
+        parts = rows.groupBy(*keys, "_c", "_p", F.col("_below").alias("_start")).agg(tally.alias("_n"))
+        parts = _locate(parts, keys + ["_c"], ["_p"], F.col("_start")).drop("_start", "_n")
+        leaves = settle(parts, "parts")
+        placed = null_safe_join(rows.drop("_below"), leaves, keys + ["_c", "_p"])
+        leaf = keys + ["_c", "_p"]
+    else:
+        placed = null_safe_join(rows, cells.select(*keys, "_c", "_below", "total"), keys + ["_c"])
+        leaf = keys + ["_c"]
+
+    counts = placed.groupBy(*leaf, "_below", "total", "_v").agg(tally.alias("equal"))
+    run = F.sum("equal").over(Window.partitionBy(*leaf).orderBy("_v")) - F.col("equal")
+    return counts.select(
+        *by, F.col("_v").alias(value), "equal", (F.col("_below") + run).alias("below"), "total"
+    )

@@ -7,8 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
-_NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
+# The Unicode whitespace characters.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def snake_case(name: str) -> str:
@@ -18,7 +21,7 @@ def snake_case(name: str) -> str:
 
 def strip(c: Column) -> Column:
     """Remove every kind of Unicode whitespace from both ends."""
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def strip_to_null(c: Column) -> Column:
@@ -32,12 +35,14 @@ def yes_no(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to double; text that is not a plain number gives null.
+    """Text to a finite double; other text gives null.
 
-    The pattern keeps out Java-only spellings such as ``1d`` that a cast accepts.
+    Spellings only Java knows are kept out: a type suffix (``1d``) and hexadecimal.
     """
-    text = strip(c.cast("string"))
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    text = F.upper(strip(c.cast("string")))
+    plain = ~F.endswith(text, F.lit("D")) & ~F.endswith(text, F.lit("F")) & ~F.contains(text, F.lit("X"))
+    number = text.try_cast("double")
+    return F.when(plain & (F.abs(number) < float("inf")), number)
 
 
 def label_array(c: Column) -> Column:

@@ -66,12 +66,14 @@ def _cost_cuts(df: DataFrame, leaf_rows: int) -> DataFrame:
 
     # Runs of equal costs that a quarter ends in: find the id at that place of the run.
     inside = ends.where(F.col("place") < F.col("equal") - 1).select("currency", F.col("value").alias("cost"), "place")
-    tied = priced.join(inside, ["currency", "cost"])
-    ids = order_statistics(
-        tied, ["currency", "cost", "place"], "restaurant_id", lambda n: F.array("place"), leaf_rows
-    ).select("currency", F.col("cost").alias("value"), "place", F.col("value").alias("last_id"))
-
-    full = ends.join(ids, ["currency", "value", "place"], "left")
+    if inside.head(1):
+        tied = priced.join(inside, ["currency", "cost"])
+        ids = order_statistics(
+            tied, ["currency", "cost", "place"], "restaurant_id", lambda n: F.array("place"), leaf_rows
+        ).select("currency", F.col("cost").alias("value"), "place", F.col("value").alias("last_id"))
+        full = ends.join(ids, ["currency", "value", "place"], "left")
+    else:
+        full = ends.withColumn("last_id", F.lit(None).cast(df.schema["restaurant_id"].dataType))
     quarter = [F.floor((F.col("total") - 1) * F.lit(q) / F.lit(4)) for q in (1, 2, 3)]
     picked = [F.max(F.when(F.col("rank") == k, F.struct("value", "last_id"))) for k in quarter]
     return full.groupBy("currency").agg(

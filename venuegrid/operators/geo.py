@@ -190,12 +190,17 @@ def _compare_boxes(items: DataFrame, dense: DataFrame, reach: _Reach, pair_limit
         met = points.join(b, ["b_node", *[f"b_{c}" for c in _CUBE]]).where(reach.near("a", "b"))
         hits.append(met.groupBy("a", "b", "need").agg(F.sum("b_w").alias("w")))
 
+        unclear = items.where(~sure & ~small)
+        if not unclear.head(1):
+            break
         found = reduce(DataFrame.unionByName, hits).groupBy("a", "b", "need").agg(F.sum("w").alias("w"))
         found = settle(found, "found")
         hits = [found]
         done = found.where("w >= need").select("a", "b")
-        items = _halved(items.where(~sure & ~small).join(done, ["a", "b"], "left_anti"), dense, reach, level)
-    return reduce(DataFrame.unionByName, hits).select("a", "b", "w") if hits else None
+        items = _halved(unclear.join(done, ["a", "b"], "left_anti"), dense, reach, level)
+    if not hits:
+        return None
+    return reduce(DataFrame.unionByName, hits).groupBy("a", "b").agg(F.sum("w").alias("w"))
 
 
 def _halved(items: DataFrame, dense: DataFrame, reach: _Reach, level: int) -> DataFrame:

@@ -21,34 +21,38 @@ ALL_CURRENCIES = "All currencies"
 SPEARMAN = "Spearman rank correlation"
 WELCH = "Welch independent t-test"
 KRUSKAL = "Kruskal-Wallis test"
-_KEYS = ["currency", "variable_x", "variable_y"]
+# The variables of the three correlation families.
+FAMILIES = [
+    ("votes", "aggregate_rating"),
+    ("average_cost_for_two", "aggregate_rating"),
+    ("average_cost_for_two", "votes"),
+]
+_KEYS = ["family", "currency"]
 
 
 def _pairs(df: DataFrame) -> DataFrame:
-    """The value pairs of all three correlation families, one scan."""
+    """The value pairs of all three families, counted in one scan."""
     votes, rating = F.col("votes").cast("double"), F.col("aggregate_rating").cast("double")
     cost = F.col("average_cost_for_two").cast("double")
     priced = F.coalesce((cost > 0) & F.col("currency").isNotNull(), F.lit(False))
 
-    def pair(keep: Column, currency: Column, x: str, x_value: Column, y: str, y_value: Column) -> Column:
-        line = F.struct(
-            currency.alias("currency"), F.lit(x).alias("variable_x"), F.lit(y).alias("variable_y"),
-            x_value.alias("x"), y_value.alias("y"),
-        )
-        return F.when(keep, line)
+    def pair(keep: Column, family: int, currency: Column, x: Column, y: Column) -> Column:
+        return F.when(keep, F.struct(
+            F.lit(family).alias("family"), currency.alias("currency"), x.alias("x"), y.alias("y")
+        ))
 
     lines = F.array_compact(F.array(
-        pair(F.col(RATED), F.lit(ALL_CURRENCIES), "votes", votes, "aggregate_rating", rating),
-        pair(priced & F.col(RATED), F.col("currency"), "average_cost_for_two", cost, "aggregate_rating", rating),
-        pair(priced, F.col("currency"), "average_cost_for_two", cost, "votes", votes),
+        pair(F.col(RATED), 0, F.lit(ALL_CURRENCIES), votes, rating),
+        pair(priced & F.col(RATED), 1, F.col("currency"), cost, rating),
+        pair(priced, 2, F.col("currency"), cost, votes),
     ))
-    return df.select(F.explode(lines).alias("line")).select("line.*")
+    exploded = df.select(F.explode(lines).alias("line")).select("line.*")
+    return exploded.groupBy(*_KEYS, "x", "y").agg(F.count("*").alias("w"))
 
 
 def rank_correlations(df: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Spearman's rho of votes and rating overall, of cost and rating, and of cost and votes per currency."""
-    pairs = _pairs(df).groupBy(*_KEYS, "x", "y").agg(F.count("*").alias("w"))
-    pairs = settle(pairs, "pairs")
+    pairs = settle(_pairs(df), "pairs")
     both = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
     # Twice the distance of the average rank from the middle rank: an integer.
@@ -58,19 +62,20 @@ def rank_correlations(df: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     ranked = both.join(x_ranks, [*_KEYS, "x"]).join(y_ranks, [*_KEYS, "y"])
     w, dx, dy = F.col("w"), F.col("dx"), F.col("dy")
     rho = F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy)))
-    found = ranked.groupBy(*_KEYS).agg(F.greatest(F.least(rho, F.lit(1.0)), F.lit(-1.0)).alias("statistic"))
+    # Rounding may push |rho| past 1; a constant column leaves it missing.
+    limited = F.when(rho > 1, 1.0).when(rho < -1, -1.0).otherwise(rho)
+    found = ranked.groupBy(*_KEYS).agg(limited.alias("statistic"))
 
     usable = F.col("x").isNotNull() & F.col("y").isNotNull()
     size = F.coalesce(F.sum(F.when(usable, w)), F.lit(0)).alias("n")
-    overall = pairs.where(F.col("variable_x") == "votes").agg(size).select(
-        F.lit(ALL_CURRENCIES).alias("currency"), F.lit("votes").alias("variable_x"),
-        F.lit("aggregate_rating").alias("variable_y"), "n",
+    overall = pairs.where("family = 0").agg(size).select(
+        F.lit(0).alias("family"), F.lit(ALL_CURRENCIES).alias("currency"), "n"
     )
-    sizes = pairs.where(F.col("variable_x") != "votes").groupBy(*_KEYS).agg(size).unionByName(overall)
-    lines = sizes.join(found, _KEYS, "left")
-    return lines.select(
-        "currency", "variable_x", "variable_y", F.lit(SPEARMAN).alias("test"), "n",
-        F.when(F.col("n") > 1, F.col("statistic")).alias("statistic"),
+    sizes = pairs.where("family > 0").groupBy(*_KEYS).agg(size).unionByName(overall)
+    names = [F.array(*[F.lit(f[i]) for f in FAMILIES]) for i in (0, 1)]
+    return sizes.join(found, _KEYS, "left").select(
+        "currency", F.get(names[0], "family").alias("variable_x"), F.get(names[1], "family").alias("variable_y"),
+        F.lit(SPEARMAN).alias("test"), "n", F.when(F.col("n") > 1, F.col("statistic")).alias("statistic"),
     )
 
 

@@ -69,7 +69,10 @@ def quality_report(raw: DataFrame) -> DataFrame:
         "missing_by_column": mapping(quality.missing_by_column(text), "column_name", "missing"),
         "invalid_coordinate_rows": quality.invalid_coordinates(data).select("invalid_coordinate_rows").scalar(),
         "rating_text_mismatches_for_zero_ratings": quality.zero_rating_text_mismatch(text).scalar(),
-        "country_currency_mappings": mapping(quality.code_currency_map(data), "country_code", "currencies"),
+        "country_currency_mappings": mapping(
+            quality.code_currency_map(data.withColumn("country_code", F.col("country_code").try_cast("int"))),
+            "country_code", "currencies",
+        ),
         "service_flag_values": mapping(quality.flag_domains(text), "column_name", "flag_values"),
         "currency_counts": mapping(quality.value_counts(text), "currency", "row_count"),
         "cost_outliers_by_currency": mapping(quality.iqr_fences_by_group(data), "currency", *fence),

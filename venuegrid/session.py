@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "venuegrid") -> SparkSession:
+def local_session(cores: str = "*", shuffle_partitions: int = 4, app: str = "venuegrid") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,6 +20,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ven
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -57,3 +58,9 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete what this application wrote to the work folder; results read from it end too."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/venuegrid/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

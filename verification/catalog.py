@@ -245,7 +245,9 @@ on_listings("value_counts", quality.value_counts)
 on_listings("flag_value_counts", quality.flag_value_counts)
 on_listings("column_profile", quality.column_profile)
 on_listings("top_values", quality.top_values)
-on_listings("describe_percentiles", rounded(quality.describe_percentiles, 6, "mean_value", "std_value"))
+on_listings("describe_percentiles", rounded(
+    quality.describe_percentiles, 6, "mean_value", "std_value", "p1", "p25", "p50", "p75", "p95", "p99"
+))
 on_listings("post_clean_counters", quality.post_clean_counters)
 on_both("constraint_checks", quality.constraint_checks)
 

@@ -43,6 +43,16 @@ def _sorted_rows(columns, rows):
     return [columns[i] for i in order], sorted(lines, key=lambda line: [(v is None, str(type(v)), str(v)) for v in line])
 
 
+_SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_differences(spark_frame, connection, sql: str) -> str | None:
+    want = {name: str(kind) for name, kind, *_ in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    kinds = {f.name: _SAME_TYPE.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_frame.schema}
+    odd = {c: (k, want.get(c)) for c, k in kinds.items() if want.get(c) != k}
+    return f"types differ: {odd}" if odd else None
+
+
 def differences(spark_frame, connection, sql: str) -> str | None:
     """None when both sides hold the same rows, else a short description."""
     got = _sorted_rows(spark_frame.columns, [tuple(r) for r in spark_frame.collect()])
@@ -66,7 +76,11 @@ def main(folder: str, names: list[str]) -> int:
         start = time.time()
         try:
             frame = run(spark, folder)
-            problem = differences(frame, connection, answers[name]) if name in answers else f"(no SQL, {frame.count()} rows)"
+            if name in answers:
+                problem = type_differences(frame, connection, answers[name])
+                problem = problem or differences(frame, connection, answers[name])
+            else:
+                problem = f"(no SQL, {frame.count()} rows)"
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         if problem and not problem.startswith("(no SQL"):

@@ -232,8 +232,8 @@ sliced AS (
 )"""
 
 CITY_RANK = f"""
-SELECT *, DENSE_RANK() OVER (PARTITION BY country_code ORDER BY restaurants DESC) AS city_rank
-FROM (SELECT country_code, city, COUNT(*) AS restaurants, {RATED_MEAN} AS average_rating, SUM(votes) AS total_votes
+SELECT *, CAST(DENSE_RANK() OVER (PARTITION BY country_code ORDER BY restaurants DESC) AS INTEGER) AS city_rank
+FROM (SELECT country_code, city, COUNT(*) AS restaurants, {RATED_MEAN} AS average_rating, CAST(SUM(votes) AS BIGINT) AS total_votes
       FROM {{rows}} GROUP BY country_code, city)"""
 
 
@@ -245,7 +245,7 @@ SELECT *, average_rating - market_rating AS rating_gap,
         / COUNT(*) OVER (PARTITION BY currency) AS presence_percentile,
        rating_gap * (1 - presence_percentile) AS opportunity_score
 FROM (SELECT currency, cuisine, COUNT(DISTINCT restaurant_id) AS restaurant_count,
-             {mean("aggregate_rating")} AS average_rating, COALESCE(SUM(votes), 0) AS total_votes
+             {mean("aggregate_rating")} AS average_rating, COALESCE(CAST(SUM(votes) AS BIGINT), 0) AS total_votes
       FROM {labels} WHERE aggregate_rating > 0 AND currency IS NOT NULL GROUP BY currency, cuisine
       HAVING COUNT(DISTINCT restaurant_id) >= {minimum})
 LEFT JOIN (SELECT currency, {mean("aggregate_rating")} AS market_rating FROM {listings} WHERE is_rated GROUP BY currency)
@@ -297,7 +297,7 @@ def _flag_rating(c: str) -> str:
 
 def _coverage(order: str) -> str:
     return f"""SELECT city, COUNT(DISTINCT restaurant_id) AS restaurants, COUNT(*) FILTER (WHERE is_rated) AS rated_restaurants,
-       {mean("aggregate_rating")} AS average_rating, SUM(votes) AS votes_proxy
+       {mean("aggregate_rating")} AS average_rating, CAST(SUM(votes) AS BIGINT) AS votes_proxy
 FROM listings GROUP BY city ORDER BY restaurants, votes_proxy {order}, city LIMIT 20"""
 
 
@@ -321,7 +321,7 @@ def oracle_sql() -> dict[str, str]:
         "write_clean": _sql(clean_features, f"SELECT {every} FROM listings"),
         "write_labels": _sql([*clean_features, LABELS], "SELECT * FROM labels"),
         "write_quality_report": _sql([*R, NUMERIC], f"""
-SELECT COUNT(*) AS rows, 21 AS columns, COUNT(DISTINCT restaurant_id) AS unique_restaurant_ids,
+SELECT COUNT(*) AS rows, 21::BIGINT AS columns, COUNT(DISTINCT restaurant_id) AS unique_restaurant_ids,
        COUNT(*) - COUNT(DISTINCT restaurant_id) AS duplicate_restaurant_ids,
        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS exact_duplicate_rows,
        COUNT(*) FILTER (WHERE COALESCE(longitude NOT BETWEEN -180 AND 180, true) OR COALESCE(latitude NOT BETWEEN -90 AND 90, true)
@@ -368,7 +368,7 @@ SELECT restaurant_id,
 FROM nums"""),
         "clean": _sql(clean_features, f"SELECT {every} FROM listings"),
         "clean_and_write": _sql([*clean_features, LABELS], """
-SELECT COUNT(*) AS listing_rows, SUM(cuisine_count) AS label_tokens, COUNT(aggregate_rating) AS ratings,
+SELECT COUNT(*) AS listing_rows, CAST(SUM(cuisine_count) AS BIGINT) AS label_tokens, COUNT(aggregate_rating) AS ratings,
        (SELECT COUNT(*) FROM labels) AS label_rows, (SELECT COUNT(*) FROM raw) AS reported_rows
 FROM listings"""),
         # features
@@ -455,19 +455,19 @@ FROM events JOIN q USING (event_type) WHERE value > {_fence("q")}""",
         "column_profile": _sql(L, " UNION ALL ".join(
             f"SELECT '{c}' AS column_name, '{_TYPES.get(c, 'string')}' AS dtype, COUNT(*) - COUNT({c}) AS missing, "
             f"COUNT(DISTINCT {c}) + CAST(COUNT(*) > COUNT({c}) AS INTEGER) AS unique_values FROM listings" for c in _LISTING)),
-        "top_values": _sql(L, "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY row_count DESC, value NULLS LAST) AS position FROM ("
+        "top_values": _sql(L, "SELECT * FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY row_count DESC, value NULLS LAST) AS INTEGER) AS position FROM ("
             + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, COUNT(*) AS row_count FROM listings GROUP BY {c}" for c in _PROFILED)
             + ")) WHERE position <= 15"),
         "describe_percentiles": _sql(L, " UNION ALL ".join(
             f"SELECT '{c}' AS measure, COUNT({c}) AS value_count, ROUND(AVG({c}::DOUBLE), 6) AS mean_value, ROUND(stddev_samp({c}::DOUBLE), 6) AS std_value, "
             f"MIN({c})::DOUBLE AS min_value, MAX({c})::DOUBLE AS max_value, "
-            + ", ".join(f"quantile_cont({c}::DOUBLE, {p}) AS p{round(p * 100)}" for p in (0.01, 0.25, 0.5, 0.75, 0.95, 0.99))
+            + ", ".join(f"ROUND(quantile_cont({c}::DOUBLE, {p}), 6) AS p{round(p * 100)}" for p in (0.01, 0.25, 0.5, 0.75, 0.95, 0.99))
             + " FROM listings" for c in _DESCRIBED)),
         "post_clean_counters": _sql(L, """
 SELECT COUNT(*) AS restaurant_rows, COUNT(DISTINCT restaurant_id) AS unique_ids, COUNT(*) FILTER (WHERE cuisines IS NULL) AS missing_cuisines,
        COUNT(*) FILTER (WHERE longitude IS NULL OR latitude IS NULL) AS missing_coordinates,
        COUNT(*) FILTER (WHERE average_cost_for_two = 0) AS zero_costs, COUNT(*) FILTER (WHERE aggregate_rating = 0) AS unrated_records,
-       SUM(cuisine_count) AS cuisine_rows FROM listings"""),
+       CAST(SUM(cuisine_count) AS BIGINT) AS cuisine_rows FROM listings"""),
         "constraint_checks": _sql(LL, """
 SELECT 'listing_key_unique' AS constraint_name, COUNT(*) AS violations
 FROM (SELECT restaurant_id FROM listings GROUP BY restaurant_id HAVING COUNT(*) > 1 OR restaurant_id IS NULL)
@@ -485,10 +485,10 @@ UNION ALL SELECT 'label_not_null', COUNT(*) FROM labels WHERE cuisine IS NULL"""
         # market
         "market_summary": _sql(LL, f"""
 SELECT COUNT(DISTINCT restaurant_id) AS restaurants, COUNT(DISTINCT country_code) AS countries, COUNT(DISTINCT city) AS cities,
-       SUM(votes) AS total_votes, {RATED_MEAN} AS average_rating, COUNT(*) FILTER (WHERE is_rated) AS rated_restaurants,
+       CAST(SUM(votes) AS BIGINT) AS total_votes, {RATED_MEAN} AS average_rating, COUNT(*) FILTER (WHERE is_rated) AS rated_restaurants,
        (SELECT COUNT(DISTINCT cuisine) FROM labels) AS cuisines FROM listings"""),
         "scope_totals": _sql(L, """
-SELECT COUNT(*) AS restaurants, COUNT(DISTINCT country_code) AS country_codes, COUNT(DISTINCT city) AS cities, SUM(votes) AS total_votes
+SELECT COUNT(*) AS restaurants, COUNT(DISTINCT country_code) AS country_codes, COUNT(DISTINCT city) AS cities, CAST(SUM(votes) AS BIGINT) AS total_votes
 FROM listings"""),
         "country_counts": _sql(L, "SELECT country_code, COUNT(*) AS restaurants FROM listings GROUP BY country_code"),
         "city_counts_topk": _sql(L, """
@@ -504,7 +504,7 @@ FROM (VALUES (1), (2), (3), (4)) AS v(band) LEFT JOIN listings ON price_range =
         "city_rank": _sql(L, CITY_RANK.format(rows="listings")),
         "city_screen": _sql(L, f"""
 SELECT country_code, city, COUNT(*) AS restaurant_count, COUNT(*) FILTER (WHERE is_rated) AS rated_restaurants,
-       {RATED_MEAN} AS average_rating, SUM(votes) AS votes_proxy_not_revenue
+       {RATED_MEAN} AS average_rating, CAST(SUM(votes) AS BIGINT) AS votes_proxy_not_revenue
 FROM listings GROUP BY country_code, city HAVING COUNT(*) >= 607"""),
         "city_coverage": _sql(L, _coverage("DESC")),
         "city_coverage_fewest_votes": _sql(L, _coverage("ASC")),
@@ -580,11 +580,11 @@ FROM (SELECT COUNT(DISTINCT currency) AS n, MIN(currency) AS c, {mean("average_c
             ("single_currency_mean_slice", "currency = 'BUILDING' AND price_range IN (1, 2, 3, 4) AND aggregate_rating BETWEEN 0 AND 4.9"))},
         # labels
         "top_labels": _sql(LL, """
-SELECT cuisine, COUNT(DISTINCT restaurant_id) AS restaurant_count, SUM(votes) AS associated_votes
+SELECT cuisine, COUNT(DISTINCT restaurant_id) AS restaurant_count, CAST(SUM(votes) AS BIGINT) AS associated_votes
 FROM labels GROUP BY cuisine ORDER BY restaurant_count DESC, cuisine LIMIT 30"""),
         "label_rating": _sql(LL, f"""
 SELECT cuisine, COUNT(DISTINCT restaurant_id) AS restaurants, {mean("aggregate_rating", "aggregate_rating > 0")} AS average_rating,
-       SUM(votes) AS associated_votes
+       CAST(SUM(votes) AS BIGINT) AS associated_votes
 FROM labels GROUP BY cuisine HAVING COUNT(DISTINCT restaurant_id) >= 900"""),
         "label_rating_topk": _sql(LL, f"""
 SELECT cuisine, {mean("aggregate_rating")} AS average_rating, COUNT(DISTINCT restaurant_id) AS restaurants
@@ -592,7 +592,7 @@ FROM labels WHERE aggregate_rating > 0 GROUP BY cuisine HAVING COUNT(DISTINCT re
 ORDER BY average_rating DESC, cuisine LIMIT 15"""),
         "top3_labels_per_city": _sql(LL, """
 SELECT city, cuisine, restaurants, associated_votes FROM (
-    SELECT city, cuisine, COUNT(DISTINCT restaurant_id) AS restaurants, SUM(votes) AS associated_votes,
+    SELECT city, cuisine, COUNT(DISTINCT restaurant_id) AS restaurants, CAST(SUM(votes) AS BIGINT) AS associated_votes,
            RANK() OVER (PARTITION BY city ORDER BY COUNT(DISTINCT restaurant_id) DESC) AS k
     FROM labels GROUP BY city, cuisine) WHERE k <= 3"""),
         "label_currency_join": _sql(LL, f"""
@@ -645,7 +645,7 @@ SELECT *, rating_gap * (1 - presence_percentile) AS opportunity_score
 FROM (SELECT *, average_rating - market_rating AS rating_gap,
              percent_rank() OVER (PARTITION BY currency ORDER BY restaurant_count) AS presence_percentile
       FROM (SELECT currency, cuisine, COUNT(DISTINCT restaurant_id) FILTER (WHERE aggregate_rating > 0) AS restaurant_count,
-                   {mean("aggregate_rating", "aggregate_rating > 0")} AS average_rating, SUM(votes) AS total_votes
+                   {mean("aggregate_rating", "aggregate_rating > 0")} AS average_rating, CAST(SUM(votes) AS BIGINT) AS total_votes
             FROM labels GROUP BY currency, cuisine
             HAVING COUNT(DISTINCT restaurant_id) FILTER (WHERE aggregate_rating > 0) >= 178)
       JOIN (SELECT currency, {mean("aggregate_rating")} AS market_rating FROM listings WHERE is_rated GROUP BY currency) USING (currency))"""),
