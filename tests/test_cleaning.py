@@ -103,7 +103,7 @@ def test_labels(spark):
     assert sorted(r["cuisine"] for r in features.explode_labels(rows).collect()) == ["Pizza", "Thai"]
 
 
-def quarters(spark, costs, currency="X", leaf_rows=200_000):
+def quarters(spark, costs, currency="X", leaf_rows=2_000_000):
     rows = [(i, c, currency) for i, c in enumerate(costs, 1)]
     frame = spark.createDataFrame(rows, "restaurant_id long, average_cost_for_two double, currency string")
     names = ["Low within currency", "Lower-middle within currency", "Upper-middle within currency", "High within currency"]
@@ -123,7 +123,7 @@ def test_cost_without_currency_or_without_value(spark):
     assert quarters(spark, [0.0, None, 3.0, 4.0]) == ["Unknown", "Unknown", 0, 3]
 
 
-@pytest.mark.parametrize("leaf_rows", [200_000, 3])
+@pytest.mark.parametrize("leaf_rows", [2_000_000, 3])
 def test_equal_costs_are_split_by_id(spark, leaf_rows):
     # Half of the rows share one cost, so all quarters end inside that run.
     costs = [1.0] * 4 + [2.0] * 30 + [3.0] * 5 + [2.0] * 11

@@ -27,7 +27,7 @@ def values():
     return rows
 
 
-@pytest.mark.parametrize("leaf_rows", [200_000, 15])
+@pytest.mark.parametrize("leaf_rows", [2_000_000, 15])
 def test_quantiles_equal_pandas(spark, values, leaf_rows):
     got = quantiles(spark.createDataFrame(values), ["g"], "x", PROBS, leaf_rows).toPandas()
     want = values.groupby("g", dropna=False)["x"].quantile(list(PROBS.values())).unstack()
@@ -37,7 +37,7 @@ def test_quantiles_equal_pandas(spark, values, leaf_rows):
         assert [row[n] for n in PROBS] == pytest.approx(line.tolist(), rel=1e-14)
 
 
-@pytest.mark.parametrize("leaf_rows", [200_000, 15])
+@pytest.mark.parametrize("leaf_rows", [2_000_000, 15])
 def test_average_ranks_equal_pandas(spark, values, leaf_rows):
     got = value_ranks(spark.createDataFrame(values), ["g"], "x", leaf_rows=leaf_rows).toPandas()
     got["rank"] = got["below"] + (got["equal"] + 1) / 2

@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from venuegrid.functions.joins import null_safe_join
 from venuegrid.session import settle
 
-CELLS_PER_E = 500        # cells per factor e of magnitude: 0.2 % wide
-LEAF_ROWS = 200_000      # a cell of this size is sorted in one task
+CELLS_PER_E = 16         # cells per factor e of magnitude: 6 % wide
+LEAF_ROWS = 2_000_000    # the distinct values of a cell of this size are sorted in one task
 SPLIT = 1024             # parts a larger cell is cut into
 MAX_PASSES = 40
 

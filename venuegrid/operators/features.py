@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuegrid.functions import bins
-from venuegrid.functions.joins import null_safe_join
 from venuegrid.functions.ranks import LEAF_ROWS, order_statistics, value_ranks
 from venuegrid.functions.text import label_array, label_count
 from venuegrid.schema import COST_CATEGORIES, COST_TOO_FEW, COST_UNKNOWN, LABEL_SCHEMA
@@ -137,7 +136,9 @@ def cost_percentile(df: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
         "restaurant_id", "restaurant_name", "currency", "average_cost_for_two",
         "price_range", "aggregate_rating",
     )
-    return null_safe_join(rated, ranks, ["currency", "average_cost_for_two"])
+    # Both keys are present here. A price that very many listings share is one
+    # line on the right, so adaptive execution can split it on the left.
+    return rated.join(ranks, ["currency", "average_cost_for_two"])
 
 
 def relabel_flag(
