@@ -35,14 +35,13 @@ def yes_no(c: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """Text to a finite double; other text gives null.
+    """Text to double; the cast itself ignores outer blanks, other text gives null.
 
-    Spellings only Java knows are kept out: a type suffix (``1d``) and hexadecimal.
+    Letters other than an exponent's are ruled out first: a Java cast would also
+    accept a type suffix (``1d``), hexadecimal and the names of special values.
     """
-    text = F.upper(strip(c.cast("string")))
-    plain = ~F.endswith(text, F.lit("D")) & ~F.endswith(text, F.lit("F")) & ~F.contains(text, F.lit("X"))
-    number = text.try_cast("double")
-    return F.when(plain & (F.abs(number) < float("inf")), number)
+    text = c.cast("string")
+    return F.when(~text.rlike("[a-df-zA-DF-Z]"), text.try_cast("double"))
 
 
 def label_array(c: Column) -> Column:

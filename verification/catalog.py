@@ -418,7 +418,7 @@ def cluster_summary(spark, sf):
 
 @query
 def valid_points(spark, sf):
-    return geo.map_points(cleaning.standardise(b.raw_listings(spark, sf)))
+    return geo.map_points(settle(cleaning.standardise(b.raw_listings(spark, sf)), "standardised"))
 
 
 # ---- slicing -----------------------------------------------------------------
