@@ -78,14 +78,16 @@ def order_statistics(
     base, keys, kind = _base(df, by, value)
     stats = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
-    cells = base.groupBy(*keys, log_cell(F.col("_v")).alias("_c")).agg(*stats)
+    base = base.withColumn("_c", log_cell(F.col("_v")))
+    cells = base.groupBy(*keys, "_c").agg(*stats)
     cells = _locate(cells, keys, ["_c"], F.lit(0))
     cells = cells.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
     found = cells.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("total")))))
     inside = (F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("_n"))
-    found = settle(found.where(inside).drop("_c"), "cells")
+    found = settle(found.where(inside), "cells")
+    keys = keys + ["_c"]  # from here on, rows meet ranks inside their cell
 
-    # Cut large cells again until each wanted rank sits in a small one.
+    # Cut large cells again until each wanted rank sits in a small piece.
     wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > leaf_rows)
     for _ in range(MAX_PASSES):
         if not found.where(wide).head(1):
@@ -95,8 +97,8 @@ def order_statistics(
         hit = null_safe_join(base, spans, keys, where=F.col("_v").between(F.col("_slo"), F.col("_shi")))
         piece = _part(F.col("_v"), F.col("_slo"), F.col("_shi"), F.lit(SPLIT), kind)
         span = keys + ["_slo", "_shi", "_start"]
-        parts = hit.groupBy(*span, piece.alias("_c")).agg(*stats)
-        parts = _locate(parts, span, ["_c"], F.col("_start")).drop("_c", "_start")
+        parts = hit.groupBy(*span, piece.alias("_p")).agg(*stats)
+        parts = _locate(parts, span, ["_p"], F.col("_start")).drop("_p", "_start")
         asked = big.select(*keys, "_slo", "_shi", "total", "rank")
         cut = null_safe_join(asked, parts, keys + ["_slo", "_shi"], where=inside).drop("_slo", "_shi")
         found = settle(cut.unionByName(found.where(~wide)), "cells")
@@ -117,8 +119,7 @@ def order_statistics(
     reached = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("equal"))
     several = null_safe_join(asked, counts, keys + ["_lo", "_hi"], where=reached)
     several = several.select(*keys, "total", "rank", "value", "below", "equal")
-    result = single.unionByName(several)
-    return result if by else result.drop("_all")
+    return single.unionByName(several).select(*by, "total", "rank", "value", "below", "equal")
 
 
 def quantiles(

@@ -66,11 +66,16 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in BASE_SCHEMA])
 
 
+def build_tables(spark: SparkSession, sf_dir: str, out: str) -> Tables:
+    return ensure_materialised(spark, out, lambda: add_features(settle(market(spark, sf_dir), "market")))
+
+
 def listing_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Feature-complete listings and labels, written once per application and data set."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    out = _FOLDERS.setdefault(key, work_path(spark, "tables"))
-    return ensure_materialised(spark, out, lambda: add_features(settle(market(spark, sf_dir), "market")))
+    if key not in _FOLDERS:
+        _FOLDERS[key] = work_path(spark, "tables")
+    return build_tables(spark, sf_dir, _FOLDERS[key])
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
