@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuegrid.llm import answers, decontamination, ngram_join
+from venuegrid.llm import answers, bpe, decontamination, ngram_join, token_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -29,6 +29,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def rank_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op5_byte_bpe(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.with_digests(docs, rank_path(), into="bpe").select("doc_id", "bpe.*")
+
+
+@query
+def op9_token_counts(spark, sf):
+    return token_counts.limit_table(token_counts.length_histogram(table(spark, sf, "documents"), rank_path()))
+
+
 @query
 def op7_ngram_join(spark, sf):
     return ngram_join.similar_groups(table(spark, sf, "documents").select("doc_id", "text"))
