@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuegrid.llm import answers, bpe, decontamination, ngram_join, token_counts
+from venuegrid.llm import answers, bpe, decontamination, interpolation, ngram_join, token_counts
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,6 +41,11 @@ def op5_byte_bpe(spark, sf):
     return bpe.with_digests(docs, rank_path(), into="bpe").select("doc_id", "bpe.*")
 
 
+@query
+def op8_deleted_interpolation(spark, sf):
+    return interpolation.scored(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_token_counts(spark, sf):
     return token_counts.limit_table(token_counts.length_histogram(table(spark, sf, "documents"), rank_path()))
