@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from venuegrid.llm import answers, bpe, decontamination, interpolation, ngram_join, token_counts
+from venuegrid.llm import (
+    answers, bpe, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts,
+)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -51,6 +53,20 @@ def op9_token_counts(spark, sf):
     return token_counts.limit_table(token_counts.length_histogram(table(spark, sf, "documents"), rank_path()))
 
 
+@query
+def op2_quality_rules(spark, sf):
+    return quality_rules.judged(table(spark, sf, "documents").select("doc_id", "text", "source"), into="q").select(
+        "doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept", "q.removed_words",
+    )
+
+
+@query
+def op6_line_dedup(spark, sf):
+    return line_dedup.deduplicated(table(spark, sf, "documents").select("doc_id", "text"), into="l").select(
+        "doc_id", "l.n_lines", "l.n_deleted", F.sha2("l.text", 256).alias("text_sha256"),
+    )
+
+
 @query
 def op7_ngram_join(spark, sf):
     return ngram_join.similar_groups(table(spark, sf, "documents").select("doc_id", "text"))
