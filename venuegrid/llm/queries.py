@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.llm import (
-    answers, bpe, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts,
+    answers, bpe, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts, toxicity,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    held_out = toxicity.fold_of(F.col("doc_id")) == toxicity.TEST_FOLD
+    score = F.col("t.score")
+    predicted = (score >= toxicity.THRESHOLD).cast("int")
+    return toxicity.scored(docs, model, into="t").select("doc_id", held_out.alias("held_out"), score.alias("score"), predicted.alias("predicted"))
+
+
 def rank_path() -> str:
     import public_tokenizers
 
