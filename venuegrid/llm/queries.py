@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.llm import (
-    answers, bpe, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts, toxicity,
+    answers, bpe, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts, toxicity, url_filter,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op3_url_filter(spark, sf):
+    return url_filter.judged(table(spark, sf, "pages").select("page_id", "url"), into="v").select("page_id", "v.host", "v.path", "v.rule", "v.verdict")
+
+
 @query
 def op4_toxicity(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
