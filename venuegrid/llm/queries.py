@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.llm import (
-    answers, bpe, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts, toxicity, url_filter,
+    answers, bpe, chat, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts, toxicity, url_filter,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def op9_token_counts(spark, sf):
     return token_counts.limit_table(token_counts.length_histogram(table(spark, sf, "documents"), rank_path()))
 
 
+@query
+def op1_chat_format(spark, sf):
+    turns = chat.repaired(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    return turns.select("conv_id", "turn", "role", "role_out", "action", "inserted_before", "inserted_after", "cost", F.sha2("fragment", 256).alias("fragment_sha256"))
+
+
 @query
 def op2_quality_rules(spark, sf):
     return quality_rules.judged(table(spark, sf, "documents").select("doc_id", "text", "source"), into="q").select(
