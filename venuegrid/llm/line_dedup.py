@@ -18,18 +18,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuegrid.llm import columns as c
-from venuegrid.session import settle
+from venuegrid.llm.scratch import Scratch
 
 MIN_WORDS = 50
 
 
-def ranked(keys: DataFrame, names: list[str]) -> DataFrame:
+def ranked(scratch: Scratch, keys: DataFrame, names: list[str]) -> DataFrame:
     """(names, rank) of the keys that occur more than once; the rank is the number of repeated places before them in key order.
 
     Keys are range-sorted over the tasks; each task counts on from the totals of those before it.
     """
     counts = keys.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1")
-    dealt = settle(counts.repartitionByRange(*names).withColumn("part", F.spark_partition_id()), "ranks")
+    dealt = scratch.settle(counts.repartitionByRange(*names).withColumn("part", F.spark_partition_id()), "ranks")
     totals = dealt.groupBy("part").agg(F.sum("n").alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy(*names)) - F.col("n")
@@ -56,7 +56,7 @@ def _log2(size: int) -> int:
     return size.bit_length() - 1
 
 
-def deletions(docs: DataFrame, min_words: int) -> DataFrame:
+def deletions(scratch: Scratch, docs: DataFrame, min_words: int) -> DataFrame:
     """(row, lines): of each document the numbers of lines to delete, counting lines with words from 0.
 
     ``docs`` has ``row``, ``doc_id`` and ``text``, without missing texts.
@@ -67,7 +67,7 @@ def deletions(docs: DataFrame, min_words: int) -> DataFrame:
     runs = sequences.select("row", "doc_id", F.explode(c.let(F.transform("ls", lambda x: x["w"]), lambda w: _windows(w, min_words))).alias("x"))
     runs = runs.select("row", "doc_id", F.col("x.at").alias("at"), F.col("x.size").alias("size"))
 
-    level = settle(places.join(ranked(places, ["line"]), "line").select("row", "i", "rank"), "level")
+    level = scratch.settle(places.join(ranked(scratch, places, ["line"]), "line").select("row", "i", "rank"), "level")
     found = None
     for k in range(_log2(min_words) + 1):
         if not level.head(1):
@@ -76,17 +76,17 @@ def deletions(docs: DataFrame, min_words: int) -> DataFrame:
         own = runs.where(F.col("size").between(low, high)).join(level.withColumnsRenamed({"i": "at", "rank": "a"}), ["row", "at"])
         own = own.withColumn("end", F.col("at") + F.col("size") - low)
         own = own.join(level.withColumnsRenamed({"i": "end", "rank": "b"}), ["row", "end"])
-        own = settle(own.select("row", "doc_id", "at", "size", "a", "b"), "runs")
+        own = scratch.settle(own.select("row", "doc_id", "at", "size", "a", "b"), "runs")
         place = F.struct("doc_id", "row", "at")
         first = own.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
         later = own.join(first, ["size", "a", "b"]).where(F.struct("doc_id", "row", "at") != F.col("first")).select("row", "at", "size")
-        later = settle(later, "copies")
+        later = scratch.settle(later, "copies")
         found = later if found is None else found.unionByName(later)
         if high >= min_words:
             break
         step = level.withColumn("to", F.col("i") + low).join(level.select("row", F.col("i").alias("to"), F.col("rank").alias("next")), ["row", "to"])
-        step = settle(step.select("row", "i", F.col("rank").alias("left"), F.col("next").alias("right")), "pairs")
-        level = settle(step.join(ranked(step, ["left", "right"]), ["left", "right"]).select("row", "i", "rank"), "level")
+        step = scratch.settle(step.select("row", "i", F.col("rank").alias("left"), F.col("next").alias("right")), "pairs")
+        level = scratch.settle(step.join(ranked(scratch, step, ["left", "right"]), ["left", "right"]).select("row", "i", "rank"), "level")
     if found is None:
         return runs.select("row", F.array("at").alias("lines")).limit(0)
     spots = found.select("row", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("line"))
@@ -109,7 +109,8 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     body = plain[f"`{text}`"].cast("string")
     row = F.xxhash64(plain[f"`{doc_id}`"].cast("string"), body)
     given = plain.select(row.alias("row"), plain[f"`{doc_id}`"].alias("doc_id"), body.alias("text")).where("text is not null")
-    gone = deletions(given, min_words)
+    with Scratch(docs.sparkSession) as scratch:
+        gone = scratch.keep(deletions(scratch, given, min_words), "deletions")
     joined = plain.withColumn("__row", row).join(gone.select(F.col("row").alias("__key"), F.col("lines").alias("__gone")), F.col("__row") == F.col("__key"), "left")
 
     def left(ls: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuegrid.llm import columns as c
-from venuegrid.session import settle
+from venuegrid.llm.scratch import Scratch
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -79,14 +79,16 @@ def judged(
     body, where = F.coalesce(plain[f"`{text}`"].cast("string"), F.lit("")), plain[f"`{host}`"].cast("string")
     row = F.xxhash64(plain[f"`{doc_id}`"].cast("string"), where, body)
     own_lines = F.transform(c.lines(body), lambda line: c.let(normalised(line), lambda x: F.struct(F.xxhash64(x).alias("line"), c.n_words(x).alias("words"))))
-    held = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host"), F.explode(own_lines).alias("l"))
-    held = held.where("l.words > 0").groupBy("row", "host", "l.line").agg(F.sum("l.words").alias("words"))
-    held = settle(held, "lines")
-    documents = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host")).distinct().groupBy("host").agg(F.count("*").alias("documents"))
-    counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
-    counts = counts.join(documents, "host").where(F.col("n") > F.col("documents") * host_share)
-    common = settle(counts.select("host", "line"), "common")
-    gone = held.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("__gone"), F.collect_list("line").alias("__codes"))
+    with Scratch(docs.sparkSession) as scratch:
+        held = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host"), F.explode(own_lines).alias("l"))
+        held = held.where("l.words > 0").groupBy("row", "host", "l.line").agg(F.sum("l.words").alias("words"))
+        held = scratch.settle(held, "lines")
+        documents = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host")).distinct().groupBy("host").agg(F.count("*").alias("documents"))
+        counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
+        counts = counts.join(documents, "host").where(F.col("n") > F.col("documents") * host_share)
+        common = scratch.settle(counts.select("host", "line"), "common")
+        gone = held.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("__gone"), F.collect_list("line").alias("__codes"))
+        gone = scratch.keep(gone, "removed")
     counted = plain.select("*", row.alias("__row"), *base_counts(plain[f"`{text}`"].cast("string")))
     joined = counted.join(gone, counted["__row"] == gone["row"], "left")
     n_words, repeat = F.col("__counts.n"), F.col("__counts.r")

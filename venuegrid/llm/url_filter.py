@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuegrid.llm import columns as c
-from venuegrid.session import settle
+from venuegrid.llm.scratch import Scratch
 
 #: The rules that the queries use.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -73,10 +73,10 @@ def _log_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.select("gram", (F.log("p_r") - F.log("p_a")).alias("ratio"))
 
 
-def _scores(bodies: DataFrame, counts: DataFrame) -> DataFrame:
+def _scores(scratch: Scratch, bodies: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, bin): hundredths of the score of each body, rounded down."""
     dealt = bodies.select("key", F.explode(pieces(F.col("body"))).alias("gram"))
-    ratios = settle(_log_ratios(dealt.select("gram").distinct(), counts), "ratios")
+    ratios = scratch.settle(_log_ratios(dealt.select("gram").distinct(), counts), "ratios")
     sums = dealt.join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
     return sums.select("key", F.floor(F.round(F.col("score"), 9) * BINS).alias("bin"))
 
@@ -112,17 +112,19 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, url: s
     verdict = reduce(lambda other, k: F.when(F.col("__rule") == k, rules[k][0]).otherwise(other), range(len(rules)), F.lit(None).cast("string"))
     parts = parts.withColumn("__verdict", verdict).withColumn("__body", F.concat("__host", "__path")).withColumn("__key", F.xxhash64("__body"))
 
-    bodies = parts.groupBy(F.col("__key").alias("key")).agg(F.first("__body").alias("body"), F.first("__verdict").alias("verdict"))
-    bodies = settle(bodies.withColumn("held_out", F.pmod("key", F.lit(HELD_OUT)) == 0), "urls")
-    learned = bodies.where("verdict is not null and not held_out").select("verdict", F.explode(pieces(F.col("body"))).alias("gram"))
-    counts = learned.groupBy("gram").agg(
-        F.sum((F.col("verdict") == "allow").cast("long")).alias("a"), F.sum((F.col("verdict") == "block").cast("long")).alias("r"),
-    )
-    counts = settle(counts, "counts")
-    scores = settle(_scores(bodies.where("verdict is null or held_out"), counts), "scores")
-    tuning = scores.join(bodies.where("verdict is not null").select("key", "verdict"), "key").groupBy("bin", "verdict").count()
-    clipped = tuning.groupBy(F.greatest(F.lit(-20 * BINS), F.least(F.lit(20 * BINS), "bin")).alias("bin"), "verdict").agg(F.sum("count").alias("n"))
-    threshold = calibrated([(r.bin, r.verdict, r.n) for r in clipped.collect()])  # bins of a fixed range
+    with Scratch(pages.sparkSession) as scratch:
+        bodies = parts.groupBy(F.col("__key").alias("key")).agg(F.first("__body").alias("body"), F.first("__verdict").alias("verdict"))
+        bodies = scratch.settle(bodies.withColumn("held_out", F.pmod("key", F.lit(HELD_OUT)) == 0), "urls")
+        learned = bodies.where("verdict is not null and not held_out").select("verdict", F.explode(pieces(F.col("body"))).alias("gram"))
+        counts = learned.groupBy("gram").agg(
+            F.sum((F.col("verdict") == "allow").cast("long")).alias("a"), F.sum((F.col("verdict") == "block").cast("long")).alias("r"),
+        )
+        counts = scratch.settle(counts, "counts")
+        scores = scratch.keep(_scores(scratch, bodies.where("verdict is null or held_out"), counts), "scores")
+        tuning = scores.join(bodies.where("verdict is not null").select("key", "verdict"), "key").groupBy("bin", "verdict").count()
+        clipped = tuning.groupBy(F.greatest(F.lit(-20 * BINS), F.least(F.lit(20 * BINS), "bin")).alias("bin"), "verdict").agg(F.sum("count").alias("n"))
+        tuned = clipped.collect()  # bins of a fixed range
+    threshold = calibrated([(r.bin, r.verdict, r.n) for r in tuned])
 
     open_ = scores.select(F.col("key").alias("__k"), F.col("bin").alias("__bin"))
     joined = parts.join(open_, (parts["__key"] == open_["__k"]) & parts["__verdict"].isNull(), "left")
