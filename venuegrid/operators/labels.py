@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from venuegrid.functions.exact import exact_mean
+from venuegrid.functions.means import mean
 from venuegrid.functions.text import label_array
 from venuegrid.operators.market import RATED
 
@@ -23,7 +23,7 @@ def label_rating(labels: DataFrame, minimum: int = 30) -> DataFrame:
     rating = F.col("aggregate_rating")
     groups = labels.groupBy("cuisine").agg(
         F.count_distinct("restaurant_id").alias("restaurants"),
-        exact_mean(rating, rating > 0).alias("average_rating"), F.sum("votes").alias("associated_votes"),
+        mean(rating, rating > 0).alias("average_rating"), F.sum("votes").alias("associated_votes"),
     )
     return groups.where(F.col("restaurants") >= minimum).orderBy(F.desc_nulls_last("average_rating"), "cuisine")
 
@@ -31,7 +31,7 @@ def label_rating(labels: DataFrame, minimum: int = 30) -> DataFrame:
 def label_rating_topk(labels: DataFrame, minimum: int = 50, k: int = 15) -> DataFrame:
     """Best labels by rated mean; the minimum counts rated listings only."""
     groups = labels.where(F.col("aggregate_rating") > 0).groupBy("cuisine").agg(
-        exact_mean(F.col("aggregate_rating")).alias("average_rating"),
+        mean(F.col("aggregate_rating")).alias("average_rating"),
         F.count_distinct("restaurant_id").alias("restaurants"),
     )
     return groups.where(F.col("restaurants") >= minimum).orderBy(F.desc("average_rating"), "cuisine").limit(k)
@@ -54,8 +54,8 @@ def label_currency_join(labels: DataFrame, listings: DataFrame, minimum: int = 5
     cost = F.col("average_cost_for_two")
     groups = rows.groupBy("cuisine", "currency").agg(
         F.count_distinct("restaurant_id").alias("restaurant_count"),
-        exact_mean(F.col("aggregate_rating"), F.col(RATED)).alias("average_rating"),
-        exact_mean(cost, cost > 0).alias("mean_local_cost"),
+        mean(F.col("aggregate_rating"), F.col(RATED)).alias("average_rating"),
+        mean(cost, cost > 0).alias("mean_local_cost"),
     )
     return groups.where(F.col("restaurant_count") >= minimum).orderBy(
         "currency", F.desc("restaurant_count"), "cuisine"

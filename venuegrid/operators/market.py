@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from venuegrid.functions.exact import exact_mean
+from venuegrid.functions.means import mean
 from venuegrid.functions.joins import null_safe_join
 from venuegrid.functions.ranks import LEAF_ROWS, quantiles
 from venuegrid.functions.text import label_array
@@ -15,7 +15,7 @@ RATED = "is_rated"
 
 
 def rated_mean():
-    return exact_mean(F.col("aggregate_rating"), F.col(RATED))
+    return mean(F.col("aggregate_rating"), F.col(RATED))
 
 
 def market_summary(df: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def city_coverage(df: DataFrame, k: int = 20, fewest_votes_first: bool = False)
     cities = df.where(F.col("city").isNotNull()).groupBy("city").agg(
         F.count_distinct("restaurant_id").alias("restaurants"),
         F.count_if(RATED).alias("rated_restaurants"),
-        exact_mean(F.col("aggregate_rating")).alias("average_rating"),
+        mean(F.col("aggregate_rating")).alias("average_rating"),
         F.coalesce(F.sum("votes"), F.lit(0)).alias("votes_proxy"),
     )
     votes = F.asc("votes_proxy") if fewest_votes_first else F.desc("votes_proxy")
@@ -115,7 +115,7 @@ def city_coverage(df: DataFrame, k: int = 20, fewest_votes_first: bool = False)
 
 def city_rating_topk(df: DataFrame, minimum: int = 30, k: int = 15) -> DataFrame:
     cities = df.where(F.col(RATED) & F.col("city").isNotNull()).groupBy("city").agg(
-        exact_mean(F.col("aggregate_rating")).alias("average_rating"),
+        mean(F.col("aggregate_rating")).alias("average_rating"),
         F.count_distinct("restaurant_id").alias("restaurants"),
     )
     return cities.where(F.col("restaurants") >= minimum).orderBy(F.desc("average_rating"), "city").limit(k)

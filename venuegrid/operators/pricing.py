@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from venuegrid.functions.exact import exact_mean
+from venuegrid.functions.means import mean
 from venuegrid.functions.joins import null_safe_join
 from venuegrid.functions.ranks import LEAF_ROWS, quantiles
 from venuegrid.operators.market import RATED, rated_mean
@@ -17,7 +17,7 @@ PICKED = [
 
 
 def _mean_cost():
-    return exact_mean(F.col(COST), F.col(COST) > 0)
+    return mean(F.col(COST), F.col(COST) > 0)
 
 
 def city_currency_cost(df: DataFrame, minimum: int = 5, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -25,7 +25,7 @@ def city_currency_cost(df: DataFrame, minimum: int = 5, leaf_rows: int = LEAF_RO
     priced = df.where(F.col(COST) > 0).select("city", "currency", COST)
     keys = ["city", "currency"]
     groups = priced.groupBy(*keys).agg(
-        F.count("*").alias("restaurants"), exact_mean(F.col(COST)).alias("mean_cost_for_two")
+        F.count("*").alias("restaurants"), mean(F.col(COST)).alias("mean_cost_for_two")
     ).where(F.col("restaurants") >= minimum)
     medians = quantiles(priced, keys, COST, {"median_cost_for_two": 0.5}, leaf_rows).drop("n")
     return null_safe_join(groups, medians, keys).orderBy(F.desc("restaurants"), "city", "currency")
@@ -34,7 +34,7 @@ def city_currency_cost(df: DataFrame, minimum: int = 5, leaf_rows: int = LEAF_RO
 def city_costs(df: DataFrame) -> DataFrame:
     kept = df.where((F.col(COST) > 0) & F.col("city").isNotNull() & F.col("currency").isNotNull())
     return kept.groupBy("city", "currency").agg(
-        exact_mean(F.col(COST)).alias("mean_cost"), F.count_distinct("restaurant_id").alias("restaurants")
+        mean(F.col(COST)).alias("mean_cost"), F.count_distinct("restaurant_id").alias("restaurants")
     )
 
 
@@ -53,7 +53,7 @@ def city_cost_topk(df: DataFrame, k: int = 20) -> DataFrame:
 def currency_price_band(df: DataFrame) -> DataFrame:
     """Per (currency, band): rows, mean cost with zeros included, rated mean."""
     return df.groupBy("currency", "price_range").agg(
-        F.count("*").alias("restaurants"), exact_mean(F.col(COST)).alias("mean_cost_for_two"),
+        F.count("*").alias("restaurants"), mean(F.col(COST)).alias("mean_cost_for_two"),
         rated_mean().alias("average_rating"),
     ).orderBy(F.asc_nulls_last("currency"), F.asc_nulls_last("price_range"))
 
@@ -80,7 +80,7 @@ def cost_rating_observations(df: DataFrame) -> DataFrame:
 def label_currency_cost(labels: DataFrame, minimum: int = 5, k: int = 15) -> DataFrame:
     kept = labels.where((F.col(COST) > 0) & F.col("currency").isNotNull())
     groups = kept.groupBy("cuisine", "currency").agg(
-        exact_mean(F.col(COST)).alias("mean_cost"), F.count_distinct("restaurant_id").alias("restaurants")
+        mean(F.col(COST)).alias("mean_cost"), F.count_distinct("restaurant_id").alias("restaurants")
     )
     return groups.where(F.col("restaurants") >= minimum).orderBy(
         F.desc("restaurants"), "cuisine", "currency"

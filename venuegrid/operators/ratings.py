@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from venuegrid.functions.exact import exact_mean
+from venuegrid.functions.means import mean
 from venuegrid.functions.ranks import LEAF_ROWS, histogram_quantiles, quantiles
 from venuegrid.operators.market import RATED, rated_mean
 
@@ -31,10 +31,10 @@ def rating_by_price(df: DataFrame) -> DataFrame:
     bands = df.groupBy("price_range", "aggregate_rating", RATED).agg(F.count("*").alias("_n"))
     r, n = F.col("aggregate_rating"), F.col("_n")
     rated_n = F.when(F.col(RATED), n).otherwise(0)
-    total = F.sum(F.when(F.col(RATED), r.cast("decimal(24,6)") * n.cast("decimal(14,0)"))).cast("double")
+    total = F.sum(F.when(F.col(RATED), r * n))
     return bands.groupBy("price_range").agg(
         F.sum(rated_n).alias("rated_restaurants"),
-        F.try_divide(total, F.sum(rated_n).cast("double")).alias("average_rating"),
+        F.try_divide(total, F.sum(rated_n)).alias("average_rating"),
         F.percentile(F.when(F.col(RATED), r), F.lit(0.5), rated_n).alias("median_rating"),
     ).orderBy(F.asc_nulls_last("price_range"))
 
@@ -118,4 +118,4 @@ def rating_histogram(df: DataFrame, bins: int = 20, top: float = 5.0) -> DataFra
 def rating_by_price_mean(df: DataFrame) -> DataFrame:
     """Mean rated rating per known price band."""
     kept = df.where(F.col(RATED) & F.col("price_range").isNotNull())
-    return kept.groupBy("price_range").agg(exact_mean(F.col("aggregate_rating")).alias("average_rating"))
+    return kept.groupBy("price_range").agg(mean(F.col("aggregate_rating")).alias("average_rating"))

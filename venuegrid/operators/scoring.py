@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from venuegrid.functions.exact import exact_mean
+from venuegrid.functions.means import mean
 from venuegrid.operators.market import RATED
 
 
 def _baseline(listings: DataFrame) -> DataFrame:
     rated = listings.where(F.col(RATED) & F.col("currency").isNotNull())
-    return rated.groupBy("currency").agg(exact_mean(F.col("aggregate_rating")).alias("market_rating"))
+    return rated.groupBy("currency").agg(mean(F.col("aggregate_rating")).alias("market_rating"))
 
 
 def _score(lines: DataFrame, presence: Column) -> DataFrame:
@@ -30,7 +30,7 @@ def label_opportunities(listings: DataFrame, labels: DataFrame, minimum: int = 5
     known = F.col("currency").isNotNull() & (F.col("aggregate_rating") > 0)
     lines = labels.where(known).groupBy("currency", "cuisine").agg(
         F.count_distinct("restaurant_id").alias("restaurant_count"),
-        exact_mean(F.col("aggregate_rating")).alias("average_rating"),
+        mean(F.col("aggregate_rating")).alias("average_rating"),
         F.coalesce(F.sum("votes"), F.lit(0)).alias("total_votes"),
     ).where(F.col("restaurant_count") >= minimum)
     by_count = Window.partitionBy("currency").orderBy("restaurant_count")
@@ -45,7 +45,7 @@ def label_opportunities_sql(listings: DataFrame, labels: DataFrame, minimum: int
     rating = F.col("aggregate_rating")
     lines = labels.groupBy("currency", "cuisine").agg(
         F.count_distinct(F.when(rating > 0, F.col("restaurant_id"))).alias("restaurant_count"),
-        exact_mean(rating, rating > 0).alias("average_rating"), F.sum("votes").alias("total_votes"),
+        mean(rating, rating > 0).alias("average_rating"), F.sum("votes").alias("total_votes"),
     ).where(F.col("restaurant_count") >= minimum)
     by_count = Window.partitionBy("currency").orderBy("restaurant_count")
     return _score(lines.join(_baseline(listings), "currency"), F.percent_rank().over(by_count))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from venuegrid.functions.distributions import chi2_p_value, t_p_value
-from venuegrid.functions.exact import exact_mean
+from venuegrid.functions.means import mean
 from venuegrid.functions.ranks import LEAF_ROWS, value_ranks
 from venuegrid.operators.market import RATED
 from venuegrid.session import settle
@@ -100,7 +100,7 @@ def welch_statistics(
         return F.struct(
             F.lit(flag).alias("variable"),
             F.count_if(yes).alias("n_yes"), F.count_if(no).alias("n_no"),
-            exact_mean(r, yes).alias("mean_yes"), exact_mean(r, no).alias("mean_no"),
+            mean(r, yes).alias("mean_yes"), mean(r, no).alias("mean_no"),
             F.var_samp(F.when(yes, r)).alias("var_yes"), F.var_samp(F.when(no, r)).alias("var_no"),
         )
 

@@ -20,6 +20,7 @@ from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA, SERVICE_FLAGS
 from venuegrid.session import settle, work_path
 from venuegrid.sources import files
 from verification import bindings as b
+from verification.oracle import MEAN_DIGITS, OFF_HALF
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -62,7 +63,19 @@ def listed(operator: Callable[..., DataFrame], column: str) -> Callable[..., Dat
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _compared(run) for name, run in _QUERIES.items()}
+
+
+def _compared(run: Query) -> Query:
+    """Means, and what is computed from them, to the digits that are compared."""
+    def rounded_means(spark: SparkSession, sf: str) -> DataFrame:
+        frame = run(spark, sf)
+        means = {
+            c: F.round(F.col(c) + OFF_HALF if digits == 4 else F.col(c), digits)
+            for c, digits in MEAN_DIGITS.items() if c in frame.columns
+        }
+        return frame.withColumns(means) if means else frame
+    return rounded_means
 
 
 # ---- sources and sinks -------------------------------------------------------
