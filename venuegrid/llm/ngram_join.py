@@ -5,8 +5,8 @@
    one node; only the first fifth of a node's ordered set, its prefix, is dealt out.
 3. Nodes that meet in a prefix shingle and pass the length, positional and suffix
    filters are candidates; each candidate pair is verified once, on whole texts.
-4. Candidates are tried in two steps: first each node against a few pivots of its
-   shingle, then all pairs whose nodes are not yet connected. A pair inside one
+4. Candidates are tried in two steps: first each node against the pivots of its
+   shingles, then all pairs whose nodes are not yet connected. A pair inside one
    component cannot change the result, so no link between components is lost and
    a large group of near copies is not multiplied out.
 """
@@ -23,13 +23,12 @@ from pyspark.sql import functions as F
 
 from venuegrid.functions.components import connected_components
 from venuegrid.llm import words
+from venuegrid.llm.scratch import Scratch
 from venuegrid.llm.ship import ship
-from venuegrid.session import settle
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 SKETCH = 1 << 18
 BINS = 16
-PIVOTS = 4
 HOT = 10_000  # nodes of a shingle from which its rows are dealt out by a salt too
 BLOOM_WORDS = 1 << 17
 
@@ -78,8 +77,8 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
 def node_of(code_set: np.ndarray) -> int:
     """A 64-bit name of a set of codes."""
     mixed = words.mix(code_set ^ np.uint64(0x5851F42D4C957F2D))
-    total = mixed.sum(dtype=np.uint64) + np.uint64(len(code_set)) * np.uint64(0x9E3779B97F4A7C15)
-    return int(words.mix(np.array([total], np.uint64)).astype(np.int64)[0])
+    total = np.append(mixed, np.uint64(len(code_set) * 0x9E3779B97F4A7C15 & 2**64 - 1)).sum(dtype=np.uint64, keepdims=True)
+    return int(words.mix(total).astype(np.int64)[0])
 
 
 def _sign(batches: Iterator[pa.RecordBatch], counts, width: int) -> Iterator[pa.RecordBatch]:
@@ -122,30 +121,35 @@ def _deal(batches: Iterator[pa.RecordBatch], counts, hot: int) -> Iterator[pa.Re
 
 
 def _filters(a: str, b: str):
-    """Length and positional filter of two rows of the same shingle."""
+    """Length, prefix and positional filter of two rows of the same shingle.
+
+    Sets that share ``need`` shingles also share one among the first size - need + 1
+    of each, so for sets of these sizes a later place does not count.
+    """
     n1, n2, p1, p2 = (F.col(c).cast("long") for c in (f"{a}.n", f"{b}.n", f"{a}.place", f"{b}.place"))
     length = DENOMINATOR * F.least(n1, n2) >= NUMERATOR * F.greatest(n1, n2)
+    need = F.ceil(NUMERATOR * (n1 + n2) / F.lit(NUMERATOR + DENOMINATOR))
     most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return length & ((NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n1 + n2))
+    return length & (p1 <= n1 - need) & (p2 <= n2 - need) & (most >= need)
 
 
 def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each node beside the pivots of its shingle; pivots of the salted parts of a hot shingle meet in turn."""
-    least = F.min(F.struct(F.xxhash64("node", F.pmod("gram", F.lit(PIVOTS))).alias("k"), "node", "n", "place")).alias("pivot")
+    """Each node beside the pivot of its shingle, the node with the fewest rarer shingles; pivots of the salted parts of a hot shingle meet in turn."""
+    least = F.min(F.struct("place", "node", "n")).alias("pivot")
     local = rows.groupBy("gram", "salt").agg(least)
     near = rows.alias("a").join(local.select("gram", "salt", "pivot.*").alias("b"), ["gram", "salt"])
     heads = local.where("salt >= 0").select("gram", "pivot.*")
-    top = heads.groupBy("gram").agg(F.min(F.struct("k", "node", "n", "place")).alias("pivot")).select("gram", "pivot.*")
+    top = heads.groupBy("gram").agg(least).select("gram", "pivot.*")
     far = heads.alias("a").join(top.alias("b"), "gram")
     pairs = [x.where(F.col("a.node") != F.col("b.node")).where(_filters("a", "b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")) for x in (near, far)]
     return pairs[0].unionByName(pairs[1])
 
 
-def _open_pairs(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+def _open_pairs(scratch: Scratch, rows: DataFrame, names: DataFrame) -> DataFrame:
     """All pairs of a shingle whose nodes are in different components."""
     named = rows.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
-    rest = settle(named.join(mixed, "gram", "left_semi"), "open")
+    rest = scratch.settle(named.join(mixed, "gram", "left_semi"), "open")
     a, b = rest.alias("a"), rest.alias("b")
     ordered = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node")))
     met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & ordered & (F.col("a.component") != F.col("b.component")) & _filters("a", "b"))
@@ -194,20 +198,20 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The candidate pairs that are links; each is verified once."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     parts = nodes.select("node", "n", "parts")
     # suffix filter: sets whose parts by code differ much in size cannot share enough
     pairs = pairs.join(parts.toDF("a", "n_a", "parts_a"), "a").join(parts.toDF("b", "n_b", "parts_b"), "b")
-    pairs = settle(pairs.mapInArrow(_suffix_filter, "a long, b long"), "candidates")
+    pairs = scratch.settle(pairs.mapInArrow(_suffix_filter, "a long, b long"), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = settle(wanted.join(nodes, "node").select("node", F.xxhash64("rep").alias("key")), "wanted")
+    wanted = scratch.settle(wanted.join(nodes, "node").select("node", F.xxhash64("rep").alias("key")), "wanted")
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
     rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(partial(_wanted, bloom=bloom, width=width), "key long, node long, text string")
-    texts = settle(rows.join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = scratch.settle(rows.join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
     sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return settle(sides.mapInArrow(partial(_verify, width=width), "a long, b long"), "verified")
+    return scratch.settle(sides.mapInArrow(partial(_verify, width=width), "a long, b long"), "verified")
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,36 +238,42 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     not read. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    kind = docs.schema[doc_id].dataType
-    docs = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as scratch:
+        kind = docs.schema[doc_id].dataType.simpleString()
+        rows = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
+        out = scratch.keep(_components(scratch, rows, kind, width, hot), "components")
+    return out.select(F.col("doc_id").alias(doc_id), "n_shingles", "component_id")
+
+
+def _components(scratch: Scratch, docs: DataFrame, kind: str, width: int, hot: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     counts = frequencies(docs, width)
     hot = max(hot, 4 * int(counts.mean()))
     shared = context.broadcast(counts)
-    signed = docs.mapInArrow(partial(_sign, counts=shared, width=width), f"doc_id {kind.simpleString()}, n long, node long, prefix binary, parts binary")
-    signed = settle(signed, "signatures")
+    signed = docs.mapInArrow(partial(_sign, counts=shared, width=width), f"doc_id {kind}, n long, node long, prefix binary, parts binary")
+    signed = scratch.settle(signed, "signatures")
     ids = signed.select("doc_id", "n", "node")
     known = signed.where("node is not null and doc_id is not null")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parts").alias("parts"))
-    nodes = settle(nodes, "nodes")
-    dealt = nodes.select("node", "n", "prefix").mapInArrow(partial(_deal, counts=shared, hot=hot), "gram long, salt int, node long, n int, place int")
+    nodes = scratch.settle(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "nodes")
+    dealt = known.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).mapInArrow(
+        partial(_deal, counts=shared, hot=hot), "gram long, salt int, node long, n int, place int"
+    )
     met = dealt.selectExpr("*", "count(*) over (partition by gram, salt) as m").where("m > 1 or salt >= 0").drop("m")
-    postings = settle(met, "postings")
+    postings = scratch.settle(met, "postings")
 
     repeated = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    first = _links(docs, nodes, _pivot_pairs(postings), width).unionByName(same)
-    first = settle(first, "links")
+    first = _links(scratch, docs, nodes, _pivot_pairs(postings), width).unionByName(same)
+    first = scratch.settle(first, "links")
     names = connected_components(first)
-    second = _links(docs, nodes, _open_pairs(postings, names), width)
+    second = _links(scratch, docs, nodes, _open_pairs(scratch, postings, names), width)
     names = connected_components(first.unionByName(second))
 
     rep = nodes.select("node", "rep").join(names, "node").groupBy("component").agg(F.min("rep").alias("least"))
     groups = names.join(rep, "component").select("node", "least")
     named = nodes.select("node", "rep").join(groups, "node", "left").select("node", F.coalesce("least", "rep").alias("group"))
-    out = ids.join(named, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
-    return out.select(F.col("doc_id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return ids.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
