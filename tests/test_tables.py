@@ -105,3 +105,48 @@ def test_labels_of_listings_add_up(spark):
     cleaned = cleaning.standardise(spark.createDataFrame(rows, RAW_SCHEMA))
     counted = features.with_label_count(cleaned).collect()[0]["cuisine_count"]
     assert features.explode_labels(cleaned).count() == counted == 3
+
+
+def test_raw_columns_are_found_by_name(spark, tmp_path):
+    from venuegrid.schema import SOURCE_HEADERS
+
+    header = ["Note", *reversed(SOURCE_HEADERS), "Other"]
+    line = ["first\nsecond", *[f"v {h}" for h in reversed(SOURCE_HEADERS)], "NA"]
+    path = tmp_path / "shuffled.csv"
+    path.write_text(",".join(header) + "\n" + ",".join(f'"{x}"' for x in line) + "\n")
+    rows = files.load_raw(spark, str(path))
+    assert rows.columns == [*SOURCE_HEADERS, "Note", "Other"]
+    row = rows.collect()[0]
+    assert [row[h] for h in SOURCE_HEADERS] == [f"v {h}" for h in SOURCE_HEADERS] and row["Note"] == "first\nsecond"
+    (tmp_path / "lacking.csv").write_text("City,Currency\nx,y\n")
+    with pytest.raises(ValueError, match="Votes"):
+        files.load_raw(spark, str(tmp_path / "lacking.csv"))
+    (tmp_path / "ragged.csv").write_text(",".join(SOURCE_HEADERS) + "\na,b,c\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.load_raw(spark, str(tmp_path / "ragged.csv")).collect()
+
+
+def test_quoted_line_breaks_survive_a_round_trip(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a\nb, \"c\""), (2, None)], "restaurant_id long, city string")
+    files.write_csv(frame, str(tmp_path / "out"))
+    back = files.load_processed_csv(spark, str(tmp_path / "out"), frame.schema)
+    assert sorted(map(tuple, back.collect())) == [(1, "a\nb, \"c\""), (2, None)]
+
+
+def test_a_clean_configuration_gets_a_work_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "from venuegrid.session import local_session, settle, discard\n"
+        "spark = local_session('2')\n"
+        "out = settle(spark.range(5), 'x')\n"
+        "assert out.count() == 5\n"
+        "folder = out.inputFiles()[0].rsplit('/', 1)[0].removeprefix('file:')\n"
+        "discard(out)\n"
+        "import os; assert not os.path.exists(folder)\n"
+    )
+    environment = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    subprocess.run([sys.executable, "-c", code], check=True, env=environment, timeout=120)

@@ -12,6 +12,7 @@ the largest value seen in it.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,9 +31,9 @@ _ZERO_CELL = 746 * CELLS_PER_E  # above |ln| of the smallest positive double
 
 
 def log_cell(value: Column) -> Column:
-    """Cell number, non-decreasing in ``value`` over negatives, zero and positives."""
+    """Cell number, non-decreasing in ``value`` over negatives, zero and positives; infinities are in the outermost cells."""
     v = value.cast("double")
-    size = F.floor(F.log(F.abs(v)) * CELLS_PER_E) + F.lit(_ZERO_CELL).cast("bigint")
+    size = F.floor(F.log(F.least(F.abs(v), F.lit(sys.float_info.max))) * CELLS_PER_E) + F.lit(_ZERO_CELL).cast("bigint")
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
 
 

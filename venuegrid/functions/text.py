@@ -39,9 +39,11 @@ def to_number(c: Column) -> Column:
 
     Letters other than an exponent's are ruled out first: a Java cast would also
     accept a type suffix (``1d``), hexadecimal and the names of special values.
+    A number beyond the doubles (``1e999``) is missing too.
     """
     text = c.cast("string")
-    return F.when(~text.rlike("[a-df-zA-DF-Z]"), text.try_cast("double"))
+    number = text.try_cast("double")
+    return F.when(~text.rlike("[a-df-zA-DF-Z]") & (F.abs(number) < float("inf")), number)
 
 
 def label_array(c: Column) -> Column:

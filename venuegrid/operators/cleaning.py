@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from venuegrid.functions.text import snake_case, strip_to_null, to_number, yes_no
 from venuegrid.operators.features import add_features
 from venuegrid.schema import NUMERIC_TYPES, PRICE_BANDS, SERVICE_FLAGS
-from venuegrid.session import settle
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def standardise(raw: DataFrame) -> DataFrame:
 def clean(raw: DataFrame) -> DataFrame:
     """Clean listings with their derived features; one output row per input row.
 
-    The standardised rows are written once: the cost categories look at cost and
-    currency a few times, which must not parse the raw text again.
+    The cost categories first write the three columns that they search; the rows
+    themselves go from the raw text to the result in one pass.
     """
-    return add_features(settle(standardise(raw), "standardised"))
+    return add_features(standardise(raw))

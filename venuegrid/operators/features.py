@@ -55,7 +55,7 @@ def _cost_cuts(df: DataFrame, leaf_rows: int) -> DataFrame:
     inside a run of equal costs.
     """
     priced = df.where((F.col("average_cost_for_two") > 0) & F.col("currency").isNotNull())
-    priced = priced.select("currency", F.col("average_cost_for_two").alias("cost"), "restaurant_id")
+    priced = settle(priced.select("currency", F.col("average_cost_for_two").alias("cost"), "restaurant_id"), "priced")
     ends = order_statistics(
         priced, ["currency"], "cost",
         lambda n: F.array(*[F.floor((n - 1) * F.lit(q) / F.lit(4)).cast("bigint") for q in (1, 2, 3)]),

@@ -15,7 +15,7 @@ from venuegrid.operators.ratings import high_votes_low_ratings
 from venuegrid.operators.scoring import label_opportunities
 from venuegrid.operators.statistics import group_comparisons, spearman
 from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA
-from venuegrid.session import settle
+from venuegrid.session import discard, settle
 from venuegrid.sources.files import (
     load_processed, load_raw, path_exists, write_csv, write_json, write_table,
 )
@@ -78,9 +78,14 @@ def quality_report(raw: DataFrame) -> DataFrame:
         "cost_outliers_by_currency": mapping(quality.iqr_fences_by_group(data), "currency", *fence),
         "numeric_outlier_summary": mapping(quality.iqr_report(data), "measure", *fence),
     }
-    ids = quality.id_uniqueness(text).select(
-        F.col("restaurant_rows").alias("rows"), "unique_restaurant_ids",
-        F.col("duplicate_id_rows").alias("duplicate_restaurant_ids"),
+    # A row repeats an id if an earlier one has it; all rows without an id share the missing one.
+    some_missing = F.max(F.col("restaurant_id").isNull().cast("int"))
+    ids = text.agg(
+        F.count("*").alias("rows"), F.count_distinct("restaurant_id").alias("unique_restaurant_ids"),
+        F.coalesce(some_missing, F.lit(0)).alias("_missing"),
+    ).select(
+        "rows", "unique_restaurant_ids",
+        (F.col("rows") - F.col("unique_restaurant_ids") - F.col("_missing")).alias("duplicate_restaurant_ids"),
     )
     counts = quality.domain_violations(data)
     violations = {
@@ -97,8 +102,11 @@ def quality_report(raw: DataFrame) -> DataFrame:
 def clean_and_write(spark: SparkSession, raw_path: str, out: str) -> tuple[Tables, DataFrame]:
     """Load, profile, clean, explode and write the tables and the quality report."""
     raw = settle(load_raw(spark, raw_path), "raw")
-    tables = write_tables(clean(raw), out)
-    write_json(quality_report(raw), f"{out}/quality_report")
+    try:
+        tables = write_tables(clean(raw), out)
+        write_json(quality_report(raw), f"{out}/quality_report")
+    finally:
+        discard(raw)
     return tables, spark.read.json(f"{out}/quality_report")
 
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+WORK_KEY, CHECKPOINT_KEY = "spark.venuegrid.work.dir", "spark.checkpoint.dir"
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 4, app: str = "venuegrid") -> SparkSession:
@@ -27,18 +27,19 @@ def local_session(cores: str = "*", shuffle_partitions: int = 4, app: str = "ven
 
 
 def work_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.venuegrid.work.dir``, else ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder: on a cluster an
-    executor's private disk is lost with the executor.
+    Only a local master may fall back to a temporary folder, which is then kept
+    under the first key: on a cluster an executor's private disk is lost with it.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if root:
-        return root.rstrip("/")
+    for key in (WORK_KEY, CHECKPOINT_KEY):
+        root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+        if root:
+            return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
+        raise RuntimeError(f"set {WORK_KEY} or {CHECKPOINT_KEY} to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="venuegrid-")
-    spark.conf.set(CHECKPOINT_KEY, root)
+    spark.conf.set(WORK_KEY, root)
     return root
 
 
@@ -61,7 +62,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folders in the work folder that ``df`` reads, once nothing needs them."""
+    root = f"{work_root(df.sparkSession)}/venuegrid/"
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") in folder:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_work(spark: SparkSession) -> None:
     """Delete what this application wrote to the work folder; results read from it end too."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{work_root(spark)}/venuegrid/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, f"{work_root(spark)}/venuegrid/{spark.sparkContext.applicationId}")

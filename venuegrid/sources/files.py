@@ -15,21 +15,27 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def load_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def load_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """The source CSV, all columns as text, missing tokens as null.
 
-    A byte-order mark is skipped by the reader. ``multi_line`` is only for files
-    with line breaks inside quotes: such files cannot be split among tasks.
+    Columns are found by the names in the header, whatever their order; a missing
+    one raises, further ones follow the known ones. Files with another header than
+    the first, and records with too few or too many fields, raise when they are
+    read. ``multi_line=False`` lets tasks share a file that is known to hold no line
+    breaks inside quotes. A byte-order mark is skipped.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
-    rows = (
-        spark.read.schema(RAW_SCHEMA).option("header", True).option("escape", '"')
-        .option("multiLine", multi_line).csv(path)
-    )
-    return rows.select(*[
-        F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in rows.columns
-    ])
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
+    header = reader.csv(path).columns
+    known = RAW_SCHEMA.names
+    missing = [c for c in known if c not in header]
+    if missing:
+        raise ValueError(f"Columns missing in {path}: {missing}")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    rows = reader.options(enforceSchema=False, mode="FAILFAST").schema(text).csv(path)
+    further = [c for c in header if c not in known]
+    return rows.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in (*known, *further)])
 
 
 def load_processed(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
@@ -40,10 +46,11 @@ def load_processed(spark: SparkSession, path: str, schema: T.StructType = LISTIN
 
 
 def load_processed_csv(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
-    """The CSV form of a processed table; an empty field is missing."""
+    """The CSV form of a processed table, line breaks inside quotes included; an empty field is missing."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"Processed data not found: {path}. Run the cleaning job first.")
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "")
+    reader = reader.option("multiLine", True)
     return reader.csv(path)
 
 
