@@ -402,10 +402,10 @@ on_listings("price_service_crosstab", services.price_service_crosstab)
 
 # ---- statistics --------------------------------------------------------------
 
-on_listings("spearman", rounded(statistics.rank_correlations, 9, "statistic"))
-on_listings("welch_t", rounded(statistics.welch_statistics, 6, "statistic", "freedom"))
-on_listings("kruskal", rounded(statistics.kruskal_statistics, 6, "statistic"))
-on_listings("statistical_report", statistics.statistical_report)
+on_listings("spearman", rounded(rounded(statistics.spearman, 9, "statistic"), 6, "p_value"))
+on_listings("welch_t", rounded(statistics.welch_t, 6, "statistic", "p_value"))
+on_listings("kruskal", rounded(statistics.kruskal, 6, "statistic", "p_value"))
+on_listings("statistical_report", rounded(statistics.statistical_report, 6, "statistic", "p_value"))
 
 # ---- scoring and geography -----------------------------------------------------
 

@@ -302,6 +302,41 @@ WELCH = " UNION ALL ".join(
     for c in ("has_online_delivery", "has_table_booking")
 )
 
+
+
+def _beyond(x: str, density: str) -> str:
+    """Integral of a density of ``x`` from the given point on, by midpoints of u in x + u / (1 - u)."""
+    return f"""(SELECT SUM({density.replace("$x", f"({x} + u / (1 - u))")} / ((1 - u) * (1 - u))) / 20000
+            FROM (SELECT (i + 0.5::DOUBLE) / 20000 AS u FROM range(20000) AS g(i)))"""
+
+
+def _t_tail(t: str, df: str) -> str:
+    front = f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi())"
+    return f"2 * {front} * {_beyond(f'abs({t})', f'pow(1 + $x * $x / {df}, -({df} + 1) / 2)')}"
+
+
+def _chi2_tail(x: str, df: str) -> str:
+    return f"{_beyond(x, f'exp(({df} / 2 - 1) * ln($x) - $x / 2)')} / exp({df} / 2 * ln(2::DOUBLE) + lgamma({df} / 2))"
+
+
+SPEARMAN = f"""
+SELECT currency, variable_x, variable_y, test, n, rho AS statistic, {_t_tail("(rho * sqrt(f / ((1 + rho) * (1 - rho))))", "f")} AS p_value
+FROM (SELECT currency, variable_x, variable_y, 'Spearman rank correlation' AS test, COUNT(*) AS n, corr(rx, ry) AS rho, (COUNT(*) - 2)::DOUBLE AS f
+      FROM ranked GROUP BY currency, variable_x, variable_y)"""
+WELCH_TEST = f"""
+SELECT variable, 'Welch independent t-test' AS test, n_yes, n_no, mean_yes, mean_no, t AS statistic, {_t_tail("t", "f")} AS p_value
+FROM (SELECT *, (mean_yes - mean_no) / sqrt(e1 + e2) AS t,
+             (e1 + e2) * (e1 + e2) / (e1 * e1 / (n_yes - 1) + e2 * e2 / (n_no - 1)) AS f FROM ({WELCH}))"""
+KRUSKAL_TABLES = ["""k AS (
+    SELECT price_range, RANK() OVER (ORDER BY aggregate_rating) + (COUNT(*) OVER (PARTITION BY aggregate_rating) - 1) / 2.0::DOUBLE AS r
+    FROM listings WHERE is_rated AND price_range IS NOT NULL
+), s AS (SELECT SUM(r) * SUM(r) / COUNT(*) AS part, COUNT(*) AS m FROM k GROUP BY price_range
+), t AS (SELECT SUM(c * c * c - c) AS ties FROM (SELECT COUNT(*)::DOUBLE AS c FROM k GROUP BY r)
+), n AS (SELECT SUM(m)::DOUBLE AS n, (COUNT(*) - 1)::DOUBLE AS freedom, SUM(part) AS part FROM s)"""]
+KRUSKAL_TEST = f"""
+SELECT 'price_range' AS variable, 'Kruskal-Wallis test' AS test, CAST(n AS BIGINT) AS n_yes, h AS statistic, {_chi2_tail("h", "freedom")} AS p_value
+FROM (SELECT n, freedom, (12 / (n * (n + 1)) * part - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM n CROSS JOIN t)"""
+
 _DESCRIBED = ["longitude", "latitude", "average_cost_for_two", "aggregate_rating", "votes"]
 _PROFILED = ["country_code", "city", "currency", *_FLAGS, "price_range", "rating_text"]
 _PICK = """SELECT restaurant_id, restaurant_name, city, currency, average_cost_for_two, price_range, aggregate_rating, votes
@@ -643,23 +678,12 @@ FROM service_rows GROUP BY service, availability"""),
 SELECT price_range, has_online_delivery, COUNT(DISTINCT restaurant_id) AS restaurants
 FROM listings WHERE price_range IS NOT NULL AND has_online_delivery IS NOT NULL GROUP BY price_range, has_online_delivery"""),
         # statistics
-        "spearman": _sql([*L, RANKED_PAIRS], """
-SELECT currency, variable_x, variable_y, 'Spearman rank correlation' AS test, COUNT(*) AS n, ROUND(corr(rx, ry), 9) AS statistic
-FROM ranked GROUP BY currency, variable_x, variable_y"""),
-        "welch_t": _sql(L, f"""
-SELECT variable, 'Welch independent t-test' AS test, n_yes, n_no, mean_yes, mean_no,
-       ROUND((mean_yes - mean_no) / sqrt(e1 + e2), 6) AS statistic,
-       ROUND((e1 + e2) * (e1 + e2) / (e1 * e1 / (n_yes - 1) + e2 * e2 / (n_no - 1)), 6) AS freedom
-FROM ({WELCH})"""),
-        "kruskal": _sql([*L, """k AS (
-    SELECT price_range, RANK() OVER (ORDER BY aggregate_rating) + (COUNT(*) OVER (PARTITION BY aggregate_rating) - 1) / 2.0::DOUBLE AS r
-    FROM listings WHERE is_rated AND price_range IS NOT NULL
-), s AS (SELECT SUM(r) * SUM(r) / COUNT(*) AS part, COUNT(*) AS m FROM k GROUP BY price_range
-), t AS (SELECT SUM(c * c * c - c) AS ties FROM (SELECT COUNT(*)::DOUBLE AS c FROM k GROUP BY r)
-), n AS (SELECT SUM(m)::DOUBLE AS n, COUNT(*) - 1 AS freedom, SUM(part) AS part FROM s)"""], """
-SELECT 'price_range' AS variable, 'Kruskal-Wallis test' AS test, CAST(n AS BIGINT) AS n_yes, freedom,
-       ROUND((12 / (n * (n + 1)) * part - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS statistic
-FROM n CROSS JOIN t"""),
+        "spearman": _sql([*L, RANKED_PAIRS], f"SELECT * REPLACE (ROUND(statistic, 9) AS statistic, ROUND(p_value, 6) AS p_value) FROM ({SPEARMAN})"),
+        "welch_t": _sql(L, f"SELECT * REPLACE (ROUND(statistic, 6) AS statistic, ROUND(p_value, 6) AS p_value) FROM ({WELCH_TEST})"),
+        "kruskal": _sql([*L, *KRUSKAL_TABLES], f"SELECT * REPLACE (ROUND(statistic, 6) AS statistic, ROUND(p_value, 6) AS p_value) FROM ({KRUSKAL_TEST})"),
+        "statistical_report": _sql([*L, RANKED_PAIRS, *KRUSKAL_TABLES], f"""
+SELECT * REPLACE (ROUND(statistic, 6) AS statistic, ROUND(p_value, 6) AS p_value)
+FROM (({SPEARMAN}) UNION ALL BY NAME ({WELCH_TEST}) UNION ALL BY NAME ({KRUSKAL_TEST}))"""),
         # scoring and geography
         "label_opportunities": _sql(LL, _opportunities("listings", "labels", 178)),
         "label_opportunities_sql": _sql(LL, f"""
