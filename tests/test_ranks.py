@@ -83,3 +83,22 @@ def test_any_quantile(spark, numbers, p):
     want = float(np.quantile(numbers, p))
     assert got["n"] == len(numbers)
     assert math.isclose(got["q"], want, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_close_values_beside_an_outlier_are_cut_until_leaves_are_small(spark, monkeypatch):
+    from venuegrid.functions import ranks
+
+    written, write = [], ranks.settle
+
+    def noted(frame, name):
+        out = write(frame, name)
+        written.append(out)
+        return out
+
+    monkeypatch.setattr(ranks, "settle", noted)
+    close = [(1000.0 + k * 1e-9,) for k in range(3000)] + [(1040.0,), (1000.05,), (float("inf"),), (float("-inf"),), (1e308,)]
+    rows = value_ranks(spark.createDataFrame(close, "x double"), [], "x", leaf_rows=100).collect()
+    ordered = sorted(x for x, in close)
+    assert {r["x"]: (r["below"], r["equal"]) for r in rows} == {x: (ordered.index(x), ordered.count(x)) for x in set(ordered)}
+    cells = [f for f in written if "_rows" in f.columns]
+    assert len(cells) == 3 and cells[-1].where("_lo < _hi").agg(F.max("_rows")).head()[0] <= 100

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,6 @@ from venuegrid.session import settle
 CELLS_PER_E = 16         # cells per factor e of magnitude: 6 % wide
 LEAF_ROWS = 2_000_000    # the distinct values of a cell of this size are sorted in one task
 SPLIT = 1024             # parts a larger cell is cut into
-MAX_PASSES = 40
 
 _ZERO_CELL = 746 * CELLS_PER_E  # above |ln| of the smallest positive double
 
@@ -41,7 +41,7 @@ def _part(value: Column, lo: Column, hi: Column, parts: Column, kind: T.DataType
     """Which of ``parts`` equal pieces of [lo, hi] holds ``value``."""
     if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
         value, lo, hi = (c.cast("decimal(20,0)") for c in (value, lo, hi))
-    ratio = F.try_divide((value - lo).cast("double"), (hi - lo).cast("double"))
+    ratio = F.nanvl(F.try_divide((value - lo).cast("double"), (hi - lo).cast("double")), F.lit(1.0))  # infinity is above the rest
     piece = F.least(F.floor(ratio * parts), parts - 1)
     return F.coalesce(piece, F.lit(0)).cast("bigint")
 
@@ -90,9 +90,7 @@ def order_statistics(
 
     # Cut large cells again until each wanted rank sits in a small piece.
     wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > leaf_rows)
-    for _ in range(MAX_PASSES):
-        if not found.where(wide).head(1):
-            break
+    while found.where(wide).head(1):  # the smallest and the largest value of a cell always part
         big = found.where(wide).withColumnsRenamed({"_lo": "_slo", "_hi": "_shi", "_below": "_start"})
         spans = big.select(*keys, "_slo", "_shi", "_start").distinct()
         hit = null_safe_join(base, spans, keys, where=F.col("_v").between(F.col("_slo"), F.col("_shi")))
@@ -148,19 +146,6 @@ def quantiles(
     return stats.groupBy(*by).agg(*picked)
 
 
-def histogram_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Quantiles of a column with few distinct values, such as ratings.
-
-    Rows are counted per value first, so the exact built-in only sees the short
-    list of distinct values of a group.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(*by).agg(
-        F.sum("_n").alias("n"),
-        *[F.percentile(F.col(value), F.lit(float(p)), F.col("_n")).alias(name) for name, p in probs.items()],
-    )
-
-
 def value_ranks(
     df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
@@ -171,31 +156,30 @@ def value_ranks(
     """
     base, keys, kind = _base(df, by, value, weight)
     tally = F.sum("_w") if weight else F.count("*")
-    rows = base.withColumn("_c", log_cell(F.col("_v")))
-    cells = rows.groupBy(*keys, "_c").agg(
-        tally.alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    cells = _locate(cells, keys, ["_c"], F.lit(0))
-    cells = cells.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
-    cells = settle(cells.withColumn("_parts", F.ceil(F.col("_rows") / F.lit(leaf_rows))), "cells")
-
-    wide = (F.col("_lo") < F.col("_hi")) & (F.col("_parts") > 1)
-    if cells.where(wide).head(1):
-        # Cut the large cells into parts and count those, then place rows by part.
-        bounds = cells.select(*keys, "_c", "_lo", "_hi", F.when(wide, F.col("_parts")).otherwise(1).alias("_parts"), "_below", "total")
-        rows = null_safe_join(rows, bounds, keys + ["_c"])
-        piece = _part(F.col("_v"), F.col("_lo"), F.col("_hi"), F.col("_parts"), kind)
-        rows = rows.withColumn("_p", piece).drop("_lo", "_hi", "_parts")
-        parts = rows.groupBy(*keys, "_c", "_p", F.col("_below").alias("_start")).agg(tally.alias("_n"))
-        parts = _locate(parts, keys + ["_c"], ["_p"], F.col("_start")).drop("_start", "_n")
-        leaves = settle(parts, "parts")
-        placed = null_safe_join(rows.drop("_below"), leaves, keys + ["_c", "_p"])
-        leaf = keys + ["_c", "_p"]
-    else:
-        placed = null_safe_join(rows, cells.select(*keys, "_c", "_below", "total"), keys + ["_c"])
-        leaf = keys + ["_c"]
-
-    counts = placed.groupBy(*leaf, "_below", "total", "_v").agg(tally.alias("equal"))
+    own = ["_v", "_w"] if weight else ["_v"]
+    stats = [tally.alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    wide = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > leaf_rows)
+
+    # Cut cells into parts until each holds few rows or one value; only rows of large cells go on.
+    rows = base.select(*keys, *own, F.lit("").alias("_cell"), F.lit(0).cast("bigint").alias("_start"), log_cell(F.col("_v")).alias("_p"))
+    leaves, known = [], []
+    while True:
+        span = [*keys, "_cell", "_start", *known]
+        cells = _locate(rows.groupBy(*span, "_p").agg(*stats), span, ["_p"], F.col("_start"))
+        if not known:
+            cells = cells.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
+        cells = settle(cells.drop("_start", "_n"), "cells")
+        placed = null_safe_join(rows.drop("_start", *known), cells, [*keys, "_cell", "_p"])
+        leaves.append(placed.where(~wide).select(*keys, "_cell", "_p", "_below", "total", *own))
+        if not cells.where(wide).head(1):
+            break
+        piece = _part(F.col("_v"), F.col("_lo"), F.col("_hi"), F.lit(SPLIT), kind)
+        deeper = F.concat("_cell", F.lit("/"), "_p")
+        rows = placed.where(wide).select(*keys, *own, deeper.alias("_cell"), F.col("_below").alias("_start"), "total", piece.alias("_p"))
+        rows, known = settle(rows, "parts"), ["total"]
+
+    leaf = [*keys, "_cell", "_p"]
+    counts = reduce(DataFrame.unionByName, leaves).groupBy(*leaf, "_below", "total", "_v").agg(tally.alias("equal"))
     run = F.sum("equal").over(Window.partitionBy(*leaf).orderBy("_v")) - F.col("equal")
     return counts.select(
         *by, F.col("_v").alias(value), "equal", (F.col("_below") + run).alias("below"), "total"

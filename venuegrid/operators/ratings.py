@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from venuegrid.functions.joins import null_safe_join
 from venuegrid.functions.means import mean
-from venuegrid.functions.ranks import LEAF_ROWS, histogram_quantiles, quantiles
+from venuegrid.functions.ranks import LEAF_ROWS, quantiles
 from venuegrid.operators.market import RATED, rated_mean
 
 
@@ -26,17 +27,11 @@ def top_voted(df: DataFrame, k: int = 25) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("votes"), "restaurant_id").limit(k)
 
 
-def rating_by_price(df: DataFrame) -> DataFrame:
-    """Rated rows, mean and median rating per price band, from one small histogram."""
-    bands = df.groupBy("price_range", "aggregate_rating", RATED).agg(F.count("*").alias("_n"))
-    r, n = F.col("aggregate_rating"), F.col("_n")
-    rated_n = F.when(F.col(RATED), n).otherwise(0)
-    total = F.sum(F.when(F.col(RATED), r * n))
-    return bands.groupBy("price_range").agg(
-        F.sum(rated_n).alias("rated_restaurants"),
-        F.try_divide(total, F.sum(rated_n)).alias("average_rating"),
-        F.percentile(F.when(F.col(RATED), r), F.lit(0.5), rated_n).alias("median_rating"),
-    ).orderBy(F.asc_nulls_last("price_range"))
+def rating_by_price(df: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Rated rows, mean and median rating per price band."""
+    bands = df.groupBy("price_range").agg(F.count_if(RATED).alias("rated_restaurants"), rated_mean().alias("average_rating"))
+    medians = quantiles(df.where(RATED), ["price_range"], "aggregate_rating", {"median_rating": 0.5}, leaf_rows).drop("n")
+    return null_safe_join(bands, medians, ["price_range"], "left").orderBy(F.asc_nulls_last("price_range"))
 
 
 def rating_by_flag(df: DataFrame, flag: str) -> DataFrame:
@@ -63,7 +58,7 @@ def _single(df: DataFrame, value: str, p: float, leaf_rows: int) -> Column:
 def high_votes_low_ratings(df: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Rated rows in the top quarter by votes and the bottom quarter by rating."""
     rated = df.where(RATED).select("restaurant_id", "restaurant_name", "city", "aggregate_rating", "votes")
-    low = histogram_quantiles(rated, [], "aggregate_rating", {"q": 0.25}).select("q").scalar()
+    low = _single(rated, "aggregate_rating", 0.25, leaf_rows)
     many = _single(rated, "votes", 0.75, leaf_rows)
     found = rated.where((F.col("votes") >= many) & (F.col("aggregate_rating") <= low))
     return found.orderBy(F.desc("votes"), "aggregate_rating", "restaurant_id")
@@ -81,19 +76,15 @@ def votes_rating_points(df: DataFrame) -> DataFrame:
     return df.where(RATED).select("restaurant_id", "restaurant_name", "votes", "aggregate_rating", "price_range")
 
 
-def rating_box_stats(df: DataFrame, flag: str = "has_online_delivery") -> DataFrame:
+def rating_box_stats(df: DataFrame, flag: str = "has_online_delivery", leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Box-plot numbers of rated ratings per flag value.
 
     Whiskers are the outermost ratings within 1.5 quartile ranges of the box.
     """
-    rated = df.where(F.col(RATED) & F.col(flag).isNotNull()).groupBy(flag, "aggregate_rating").agg(
-        F.count("*").alias("_n")
-    )
+    rows = df.where(F.col(RATED) & F.col(flag).isNotNull())
+    boxes = quantiles(rows, [flag], "aggregate_rating", {"q1": 0.25, "median": 0.5, "q3": 0.75}, leaf_rows).drop("n")
+    rated = rows.groupBy(flag, "aggregate_rating").agg(F.count("*").alias("_n"))
     r = F.col("aggregate_rating")
-    boxes = rated.groupBy(flag).agg(*[
-        F.percentile(r, F.lit(p), F.col("_n")).alias(name)
-        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
-    ])
     spread = 1.5 * (F.col("q3") - F.col("q1"))
     within = r.between(F.col("q1") - spread, F.col("q3") + spread)
     return rated.join(boxes, flag).groupBy(flag, "q1", "median", "q3").agg(
