@@ -118,3 +118,15 @@ def test_components(spark):
             parent[high] = low
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == {v: find(v) for v in parent}
+
+
+def test_clusters_do_not_need_unique_ids(spark):
+    chain = [(k, 1, "A", 10.0 + k * 0.001, 10.0) for k in range(7)]  # ids shared with scattered points of another city
+    scattered = [(k, 1, "B", 40.0 + k, 20.0) for k in range(7)]
+    missing = [(None, 1, "C", 50.0 + k * 0.0001, 5.0) for k in range(5)]
+    frame = spark.createDataFrame(chain + scattered + missing, "restaurant_id long, country_code int, city string, latitude double, longitude double")
+    rows = geo.spatial_clusters(frame, radius_m=500, min_pts=3).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r.city, []).append((r.cluster_label, r.cluster_size))
+    assert found == {"A": [(0, 7)] * 7, "B": [(-1, 0)] * 7, "C": [(0, 5)] * 5}

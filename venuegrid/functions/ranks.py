@@ -184,3 +184,15 @@ def value_ranks(
     return counts.select(
         *by, F.col("_v").alias(value), "equal", (F.col("_below") + run).alias("below"), "total"
     )
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with the column ``name``: 0, 1, 2, ... in the given order, which must tell all rows apart.
+
+    Rows are range-sorted over the tasks; each task counts on from the totals of those before it.
+    """
+    dealt = settle(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    totals = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.withColumn(name, inside).join(before, "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from venuegrid.functions.components import connected_components
 from venuegrid.functions.joins import null_safe_join
-from venuegrid.functions.ranks import LEAF_ROWS, value_ranks
+from venuegrid.functions.ranks import LEAF_ROWS, numbered, value_ranks
 from venuegrid.functions.sphere import AXES, box_gap2, box_span2, haversine, unit_vector
 from venuegrid.schema import EARTH_RADIUS_M
 from venuegrid.session import settle
@@ -106,15 +106,21 @@ def _box_of() -> list[Column]:
 
 
 def _locations(points: DataFrame, reach: _Reach) -> DataFrame:
-    """Distinct coordinates per group with row weight, smallest id and cube."""
+    """Distinct coordinates per group with row weight, number and cube.
+
+    Listing ids may repeat or be missing, so a location has a number of its own;
+    numbers follow the smallest listing id, missing ones last.
+    """
     # Keys without nulls, still one-to-one, keep the many joins below plain equi-joins.
     group = {
         "g_country": F.coalesce(F.col("country_code").cast("bigint"), F.lit(-(2**40))),
         "g_city": F.coalesce(F.concat(F.lit("="), F.col("city")), F.lit("")),
     }
     spots = points.withColumns(group).groupBy(*_GROUP, "latitude", "longitude").agg(
-        F.count("*").alias("w"), F.min("restaurant_id").alias("id")
+        F.count("*").alias("w"), F.min("restaurant_id").alias("_first")
     )
+    order = [F.col("_first").asc_nulls_last(), *[F.col(c) for c in (*_GROUP, "latitude", "longitude")]]
+    spots = numbered(spots, order, "id").drop("_first")
     x, y, z = unit_vector(F.col("latitude"), F.col("longitude"))
     spots = spots.withColumns({"x": x, "y": y, "z": z}).withColumns(_cube_keys(reach.side))
     return spots.withColumnsRenamed({"latitude": "lat", "longitude": "lon"})
