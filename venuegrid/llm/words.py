@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
+_RUN_BYTES = 1 << 20  # codes are worked out for runs of whole texts of about this size at a time
 #: Seeds of the random byte codes and of the multipliers.
 _SEED, _BASE = 20_240_607, np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,7 +53,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(which: str, n: int) -> np.ndarray:
     if len(_powers[which]) < n:
         base = _BASE if which == "up" else np.uint64(pow(int(_BASE), -1, 1 << 64))
-        steps = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
+        steps = np.full(max(n, _RUN_BYTES + 1), base, np.uint64)
         steps[0] = 1
         _powers[which] = np.cumprod(steps, dtype=np.uint64)
     return _powers[which]
@@ -106,6 +107,21 @@ class Words:
 
 def split_words(offsets: np.ndarray, data: np.ndarray, kind: str = "spaced", lowered: bool = True) -> Words:
     """Words as runs of word bytes inside one text; a code is a polynomial of random byte codes, mixed."""
+    parts, at = [], 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _RUN_BYTES, "right")) - 1)
+        parts.append((offsets[at], _split_run(offsets[at:to + 1] - offsets[at], data[offsets[at]:offsets[to]], kind, lowered)))
+        at = to
+    if not parts:
+        return _split_run(offsets, data, kind, lowered)
+    before = np.cumsum([0, *(len(w.code) for _, w in parts)])
+    return Words(
+        np.concatenate([w.start + o for o, w in parts]), np.concatenate([w.end + o for o, w in parts]),
+        np.concatenate([np.zeros(1, np.int64), *(w.first[1:] + b for (_, w), b in zip(parts, before))]), np.concatenate([w.code for _, w in parts]),
+    )
+
+
+def _split_run(offsets: np.ndarray, data: np.ndarray, kind: str, lowered: bool) -> Words:
     n, texts = len(data), len(offsets) - 1
     if not n:
         none = np.zeros(0, np.int64)
