@@ -27,7 +27,7 @@ from venuegrid.session import settle
 
 #: Roles, and what the repairs cost.
 ROLES = ("system", "user", "assistant")
-MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 2, 1, 3
+MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 1, 5, 1, 3
 SEGMENT = 1_000
 
 # a state is the role of the last turn; 3 is the start
@@ -81,11 +81,9 @@ def trace(roles: list[str | None], costs: list[list[float]], end: int) -> tuple[
 
 
 def last_state(costs: list[float]) -> tuple[int, int]:
-    """(state that ends a conversation, role to insert after it or -1); ties take the way without an insertion."""
-    ends = [(costs[s], 0, s, -1) for s in _FINAL] + [(costs[s] + INSERT, 1, s, 2) for s in (1,)]
+    """(state that the turns end in, role of the last empty turn to insert or -1); after a system turn a user turn is inserted too."""
+    ends = [(costs[s], 0, s, -1) for s in _FINAL] + [(costs[1] + INSERT, 1, 1, 2), (costs[0] + 2 * INSERT, 2, 0, 2)]
     _, _, state, insert = min(ends)
-    if min(ends)[0] == _INF:  # a lone system turn: an empty user and an empty assistant turn would be needed
-        return 0, 2
     return state, insert
 
 

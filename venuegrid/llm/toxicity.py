@@ -35,7 +35,8 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
 SEPARATORS = " .-_*"
-_SIGN_COST, _KEEP_COST, _DROP_COST, _REPEAT_COST = math.log(0.9), math.log(0.1), math.log(0.6), math.log(0.5)
+_SIGN_COST, _DROP_COST, _REPEAT_COST = math.log(0.9), math.log(0.6), math.log(0.5)
+_KEEP_SIGN, _KEEP_SEPARATOR = math.log(1e-4), math.log(0.4)
 _SYMBOLS = 28  # a to z, letters beyond ASCII, all else
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("restored", T.ArrayType(T.StringType()))])
@@ -93,7 +94,7 @@ class Reader:
                 readings = [(letter, _SIGN_COST - math.log(len(letters))) for letter in letters]
                 if sign in SEPARATORS:
                     readings.append(("", _DROP_COST))
-                out.append([*readings, (sign, _KEEP_COST if readings else 0.0)])
+                out.append([*readings, (sign, _KEEP_SIGN if letters else _KEEP_SEPARATOR if readings else 0.0)])
             before = sign
         return out
 
