@@ -132,3 +132,21 @@ def test_equal_costs_are_split_by_id(spark, leaf_rows):
     for rank, i in enumerate(order):
         want[i] = max((4 * rank + n - 2) // (n - 1), 1) - 1
     assert quarters(spark, costs, leaf_rows=leaf_rows) == want
+
+
+def test_cost_quarters_divide_equal_and_missing_ids(spark):
+    from collections import Counter
+
+    from venuegrid.operators import features
+
+    rows = [(5, "X", 10.0)] * 8 + [(None, "Y", 7.0)] * 8 + [(k, "Z", 3.0) for k in range(8)]
+    frame = spark.createDataFrame(rows, "restaurant_id long, currency string, average_cost_for_two double")
+    found = Counter((r.currency, r.cost_category) for r in features.with_cost_category(frame).collect())
+    assert len(found) == 12 and set(found.values()) == {2}
+
+
+def test_numbers_beyond_the_doubles_are_missing(spark):
+    from venuegrid.functions.text import to_number
+
+    frame = spark.createDataFrame([("1e999",), ("-1e999",), ("12.5",), ("1d",), (None,)], "x string")
+    assert [r.x for r in frame.select(to_number(F.col("x")).alias("x")).collect()] == [None, None, 12.5, None, None]

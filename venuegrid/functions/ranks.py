@@ -186,7 +186,7 @@ def value_ranks(
     )
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """``df`` with the column ``name``: 0, 1, 2, ... in the given order, which must tell all rows apart.
 
     Rows are range-sorted over the tasks; each task counts on from the totals of those before it.
