@@ -21,6 +21,7 @@ from venuegrid.llm import columns as c
 from venuegrid.llm.scratch import Scratch
 
 MIN_WORDS = 50
+FEW = 4  # lines that mostly hold so many words
 
 
 def ranked(scratch: Scratch, keys: DataFrame, names: list[str]) -> DataFrame:
@@ -38,10 +39,15 @@ def ranked(scratch: Scratch, keys: DataFrame, names: list[str]) -> DataFrame:
 
 def _windows(words: Column, least: int) -> Column:
     """(start, size) of the shortest runs with ``least`` words, from each line and up to each line."""
-    def size(part: Column) -> Column:
+    def fold(part: Column) -> Column:
         start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).alias("n"))
-        full = F.aggregate(part, start, lambda acc, w: F.when(acc["s"] >= least, acc).otherwise(F.struct((acc["s"] + w).alias("s"), (acc["n"] + 1).alias("n"))))
-        return c.let(full, lambda acc: F.when(acc["s"] >= least, acc["n"]).otherwise(0))
+        return F.aggregate(part, start, lambda acc, w: F.when(acc["s"] >= least, acc).otherwise(F.struct((acc["s"] + w).alias("s"), (acc["n"] + 1).alias("n"))))
+
+    def size(part: Column) -> Column:
+        def checked(acc: Column, other: Column) -> Column:
+            return F.when(acc["s"] >= least, acc["n"]).otherwise(other)
+
+        return c.let(part, lambda p: c.let(fold(F.slice(p, 1, FEW)), lambda few: checked(few, c.let(fold(p), lambda acc: checked(acc, F.lit(0))))))
 
     after = F.transform(words, lambda w, i: F.struct(i.alias("at"), F.when(w >= least, F.lit(1)).otherwise(size(F.slice(words, i + 1, F.lit(least)))).alias("size")))
     first = lambda i: F.greatest(F.lit(1), i - (least - 2))
@@ -62,10 +68,13 @@ def deletions(scratch: Scratch, docs: DataFrame, min_words: int) -> DataFrame:
     ``docs`` has ``row``, ``doc_id`` and ``text``, without missing texts.
     """
     worded = F.filter(F.transform(c.lines(F.col("text")), lambda line: F.struct(F.xxhash64(line).alias("h"), c.n_words(line).alias("w"))), lambda x: x["w"] > 0)
-    sequences = docs.select("row", "doc_id", worded.alias("ls"))
-    places = sequences.select("row", F.posexplode("ls").alias("i", "l")).select("row", "i", F.col("l.h").alias("line"))
-    runs = sequences.select("row", "doc_id", F.explode(c.let(F.transform("ls", lambda x: x["w"]), lambda w: _windows(w, min_words))).alias("x"))
-    runs = runs.select("row", "doc_id", F.col("x.at").alias("at"), F.col("x.size").alias("size"))
+    counts = F.transform("ls", lambda x: x["w"])
+    sequences = docs.select("row", "doc_id", worded.alias("ls")).select(
+        "row", "doc_id", F.transform("ls", lambda x: x["h"]).alias("ids"), c.let(counts, lambda w: _windows(w, min_words)).alias("runs"),
+    )
+    sequences = scratch.settle(sequences, "sequences")
+    places = sequences.select("row", F.posexplode("ids").alias("i", "line"))
+    runs = sequences.select("row", "doc_id", F.explode("runs").alias("x")).select("row", "doc_id", F.col("x.at").alias("at"), F.col("x.size").alias("size"))
 
     level = scratch.settle(places.join(ranked(scratch, places, ["line"]), "line").select("row", "i", "rank"), "level")
     found = None
@@ -111,7 +120,9 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     given = plain.select(row.alias("row"), plain[f"`{doc_id}`"].alias("doc_id"), body.alias("text")).where("text is not null")
     with Scratch(docs.sparkSession) as scratch:
         gone = scratch.keep(deletions(scratch, given, min_words), "deletions")
-    joined = plain.withColumn("__row", row).join(gone.select(F.col("row").alias("__key"), F.col("lines").alias("__gone")), F.col("__row") == F.col("__key"), "left")
+    # hashing the small side keeps the texts unsorted; the plan is the same at every size
+    gone = gone.select(F.col("row").alias("__key"), F.col("lines").alias("__gone")).hint("shuffle_hash")
+    joined = plain.withColumn("__row", row).join(gone, F.col("__row") == F.col("__key"), "left")
 
     def left(ls: Column) -> Column:
         worded = F.filter(F.transform(ls, lambda line, i: F.when(c.visible(line) != "", i)), lambda i: i.isNotNull())
