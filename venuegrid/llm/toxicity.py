@@ -26,7 +26,7 @@ from venuegrid.llm.ship import ship
 
 FOLDS, TEST_FOLD, THRESHOLD = 3, 1, 0.7
 SAMPLE_ROWS = {1: 4_000, 0: 8_000}  # labelled documents of each class that the model is fitted on, at most
-FEATURES, MIN_TOXIC, MIN_LIFT = 4_000, 4, 4.0
+FEATURES, MIN_TOXIC, MIN_LIFT, MIN_EVIDENCE = 4_000, 4, 4.0, 20.0
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes
 
 #: Letters that signs stand for, and signs that may stand for nothing.
@@ -271,6 +271,17 @@ def fold_of(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
+def _evidence(sizes: dict) -> Column:
+    """Log-likelihood ratio of a code and the classes being dependent; few labelled texts choose no chance codes."""
+    bad, good = F.col("bad"), F.col("good")
+    total, held = sizes[1] + sizes[0], bad + good
+
+    def term(seen: Column, row: Column, size: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * total / (row * size))).otherwise(0.0)
+
+    return 2 * (term(bad, held, sizes[1]) + term(good, held, sizes[0]) + term(sizes[1] - bad, total - held, sizes[1]) + term(sizes[0] - good, total - held, sizes[0]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_rows: dict = SAMPLE_ROWS) -> Model:
     """Character model from all of ``docs``; scorer from labelled rows outside the test fold.
 
@@ -294,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     counts = rows.mapInArrow(partial(_class_counts, shared=shared), "code long, bad long, good long")
     counts = counts.groupBy("code").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= MIN_TOXIC)
     lift = (F.col("bad") / sizes[1]) / ((F.col("good") + 0.5) / sizes[0])
-    best = counts.where(lift >= MIN_LIFT).orderBy(F.desc(F.col("bad") / sizes[1] - F.col("good") / sizes[0]), "code").limit(FEATURES)
+    best = counts.where((lift >= MIN_LIFT) & (_evidence(sizes) >= MIN_EVIDENCE)).orderBy(F.desc(F.col("bad") / sizes[1] - F.col("good") / sizes[0]), "code").limit(FEATURES)
     codes = np.sort(best.select("code").toArrow()["code"].to_numpy().astype(np.uint64))
     if not len(codes):
         return none
