@@ -28,7 +28,7 @@ from venuegrid.llm.ship import ship
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 4, 5
 SKETCH = 1 << 18
-BINS = 16
+MOST_BINS = 512
 HOT = 10_000  # nodes of a shingle from which its rows are dealt out by a salt too
 BLOOM_WORDS = 1 << 17
 
@@ -81,6 +81,26 @@ def node_of(code_set: np.ndarray) -> int:
     return int(words.mix(total).astype(np.int64)[0])
 
 
+def parts_of(code_set: np.ndarray) -> bytes:
+    """Sizes of the parts of a set by the low bits of its codes, 255 for 255 or more; larger sets have more parts."""
+    bins = 64
+    while bins < min(len(code_set), MOST_BINS):
+        bins *= 2
+    sizes = np.bincount((code_set & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return np.minimum(sizes, 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """No more than the smaller of each two parts can be shared."""
+    x, y = (np.frombuffer(p, np.uint8).astype(np.int64) for p in (a, b))
+    full = (x == 255).any() or (y == 255).any()
+    while len(x) > len(y):
+        x = x[:len(x) // 2] + x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] + y[len(y) // 2:]
+    return 1 << 62 if full else int(np.minimum(x, y).sum())
+
+
 def _sign(batches: Iterator[pa.RecordBatch], counts, width: int) -> Iterator[pa.RecordBatch]:
     frequency = counts.value
     for rows, offsets, data in words.blocks(batches):
@@ -92,7 +112,7 @@ def _sign(batches: Iterator[pa.RecordBatch], counts, width: int) -> Iterator[pa.
             node.append(node_of(own) if len(own) else None)
             order = np.argsort(frequency[_slot(own)], kind="stable")[:len(own) // DENOMINATOR + 1]
             prefix.append(own[order].tobytes())
-            parts.append(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32).tobytes())
+            parts.append(parts_of(own))
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(prefix, pa.binary()), pa.array(parts, pa.binary())],
             names=["doc_id", "n", "node", "prefix", "parts"],
@@ -147,7 +167,7 @@ def _pivot_pairs(rows: DataFrame) -> DataFrame:
 
 def _open_pairs(scratch: Scratch, rows: DataFrame, names: DataFrame) -> DataFrame:
     """All pairs of a shingle whose nodes are in different components."""
-    named = rows.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = rows.join(names.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram")
     rest = scratch.settle(named.join(mixed, "gram", "left_semi"), "open")
     a, b = rest.alias("a"), rest.alias("b")
@@ -203,25 +223,23 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     parts = nodes.select("node", "n", "parts")
     # suffix filter: sets whose parts by code differ much in size cannot share enough
-    pairs = pairs.join(parts.toDF("a", "n_a", "parts_a"), "a").join(parts.toDF("b", "n_b", "parts_b"), "b")
+    pairs = pairs.hint("merge").join(parts.toDF("a", "n_a", "parts_a"), "a").hint("merge").join(parts.toDF("b", "n_b", "parts_b"), "b")
     pairs = scratch.settle(pairs.mapInArrow(_suffix_filter, "a long, b long"), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = scratch.settle(wanted.join(nodes, "node").select("node", F.xxhash64("rep").alias("key")), "wanted")
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
     rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(partial(_wanted, bloom=bloom, width=width), "key long, node long, text string")
-    texts = scratch.settle(rows.join(wanted, ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
-    sides = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    texts = scratch.settle(rows.join(wanted.hint("shuffle_hash"), ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+    sides = pairs.hint("merge").join(texts.toDF("a", "text_a"), "a").hint("merge").join(texts.toDF("b", "text_b"), "b")
     return scratch.settle(sides.mapInArrow(partial(_verify, width=width), "a long, b long"), "verified")
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, BINS) for c in ("parts_a", "parts_b")]
-        shared = np.minimum(*parts).sum(axis=1)  # no more than the smaller part of each two can be shared
+        shared = map(most_shared, batch.column("parts_a").to_pylist(), batch.column("parts_b").to_pylist())
         total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        yield batch.select(["a", "b"]).filter(pa.array((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * total))
+        keep = [(NUMERATOR + DENOMINATOR) * m >= NUMERATOR * t for m, t in zip(shared, total.tolist())]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, hot: int = HOT) -> DataFrame:
@@ -272,6 +290,7 @@ def _components(scratch: Scratch, docs: DataFrame, kind: str, width: int, hot: i
     rep = nodes.select("node", "rep").join(names, "node").groupBy("component").agg(F.min("rep").alias("least"))
     groups = names.join(rep, "component").select("node", "least")
     named = nodes.select("node", "rep").join(groups, "node", "left").select("node", F.coalesce("least", "rep").alias("group"))
+    named = scratch.settle(named, "named")  # a node of very many copies can then be split in the join
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
     return ids.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
