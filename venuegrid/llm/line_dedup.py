@@ -88,6 +88,7 @@ def deletions(scratch: Scratch, docs: DataFrame, min_words: int) -> DataFrame:
         own = scratch.settle(own.select("row", "doc_id", "at", "size", "a", "b"), "runs")
         place = F.struct("doc_id", "row", "at")
         first = own.groupBy("size", "a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+        first = scratch.settle(first, "first")  # so that a run of very many copies is added up early and split in the join
         later = own.join(first, ["size", "a", "b"]).where(F.struct("doc_id", "row", "at") != F.col("first")).select("row", "at", "size")
         later = scratch.settle(later, "copies")
         found = later if found is None else found.unionByName(later)
