@@ -5,10 +5,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_brute import fold, interpolated
 
-from venuegrid.llm import interpolation, quality_rules, queries, toxicity, url_filter
+from venuegrid.llm import interpolation, quality_rules, queries, toxicity, url_filter, words
 
 
 def texts(seed, n):
@@ -106,6 +107,22 @@ def test_hidden_words_are_read_and_found(spark, toxic):
     assert len(clean - {r.doc_id for r in kept.collect()}) <= 0.02 * len(clean)
 
 
+def test_every_channel_symbol_opens_a_word(spark, toxic):
+    plain = "worthless puke scum stupid trash idiot moron loser"
+    hidden = {
+        "worthle$$": "worthless", "worthle55": "worthless", "puk3": "puke", "sc.um": "scum", "st-upid": "stupid",
+        "t r 4 s h": "trash", "1 d 1 0 t": "idiot", "1 d 1 0 t!": "idiot", "moroon": "moron", "looser": "loser",
+        "scUuUm": "scum", "scuUm,": "scum", "s t u p i d.": "stupid", "(s - t - u - p - i - d)": "stupid", "s. c. u. m.": "scum",
+    }
+    docs, _ = toxic
+    trained = docs.select("text").unionByName(spark.createDataFrame([(f"{plain} see too Hannah. {plain}! 1998 250 - 3.75 4 6",)] * 40, "text string"))
+    reader = toxicity.Reader(toxicity.character_model(trained))
+    buffers = words.text_buffers(pa.array([f"banta {form} telri" for form in hidden]))
+    assert sorted(toxicity.restored(*buffers, reader)) == list(enumerate(hidden.values()))
+    kept = [f"{plain} see too Hannah.", f"{plain.title()}!", "2024 100 - 3.14 1 2 3 (banta) telri! \xc9\xe9", "banta - a telri-banta", "", None]
+    assert toxicity.restored(*words.text_buffers(pa.array(kept)), reader) == []
+
+
 def test_odd_rows_of_toxicity(spark, toxic):
     docs, labels = toxic
     odd = spark.createDataFrame([(None, "1d10t", 1), (1, None, 1), (1, "", 1), (2, "a b c " * 50_000, 1), (2, "0" * 20_000 + "a", 1)], "doc_id long, text string, T int")

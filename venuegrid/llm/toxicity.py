@@ -3,8 +3,9 @@
 Words written with digits or signs for letters, with letters spaced out or with
 letters repeated are read as lattices: each sign may stand for some letters, each
 separator may be nothing, each repeat may be dropped. Viterbi decoding under a
-character trigram model, trained on all documents, picks the reading. A plain word
-has one path and stays. The text with the readings is scored by a logistic model on
+character trigram model, trained on all documents, picks the reading. A word without
+such a symbol has one path and stays; for the others it costs little to keep pairs of
+letters, numbers, and punctuation at the ends. The text with the readings is scored by a logistic model on
 words and word beginnings, fitted on a bounded sample of labelled documents.
 """
 
@@ -35,8 +36,11 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou",
 }
 SEPARATORS = " .-_*"
+PUNCTUATION = "!(|+*"  # signs that plain words have at their ends
+_ENDS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and (chr(b) in PUNCTUATION or chr(b) not in SIGNS))
 _SIGN_COST, _DROP_COST, _REPEAT_COST = math.log(0.9), math.log(0.6), math.log(0.5)
 _KEEP_SIGN, _KEEP_SEPARATOR = math.log(1e-4), math.log(0.4)
+_KEEP_PAIR, _DROP_PAIR = math.log(0.999), math.log(0.001)
 _SYMBOLS = 28  # a to z, letters beyond ASCII, all else
 
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("restored", T.ArrayType(T.StringType()))])
@@ -78,51 +82,63 @@ class Reader:
     """Viterbi decoding of written forms."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self._kept = model, {}
+        self.model, self._kept = model.ravel().tolist(), {}
 
     @staticmethod
     def lattice(form: str) -> list[list[tuple[str, float]]]:
         """For each sign its readings with their log probabilities; an empty reading drops it."""
         out, before = [], ""
+        number = not any(sign.isalpha() for sign in form)
+        first, last = len(form) - len(form.lstrip(_ENDS)), len(form.rstrip(_ENDS))
         for k, sign in enumerate(form):
             if sign.isalpha():
                 again = sign == before
                 third = again and k > 1 and form[k - 2] == sign
-                out.append([("", 0.0)] if third else [(sign, _REPEAT_COST), ("", _REPEAT_COST)] if again else [(sign, 0.0)])
+                keep, drop = (_REPEAT_COST, _REPEAT_COST) if form[k + 1:k + 2] == sign else (_KEEP_PAIR, _DROP_PAIR)
+                out.append([("", 0.0)] if third else [(sign, keep), ("", drop)] if again else [(sign, 0.0)])
             else:
+                edge = not first <= k < last
                 letters = SIGNS.get(sign, "")
                 readings = [(letter, _SIGN_COST - math.log(len(letters))) for letter in letters]
-                if sign in SEPARATORS:
+                if sign in SEPARATORS and not edge:
                     readings.append(("", _DROP_COST))
-                out.append([*readings, (sign, _KEEP_SIGN if letters else _KEEP_SEPARATOR if readings else 0.0)])
+                kept = 0.0 if number or not readings else _KEEP_SIGN if letters and not edge else _KEEP_SEPARATOR
+                out.append([*readings, (sign, kept)])
             before = sign
         return out
 
     def read(self, form: str) -> str:
-        """The likeliest reading; ties go to the reading listed first."""
+        """The likeliest reading; ties go to the reading listed first. Numbers are read as letters as a whole or not at all."""
         found = self._kept.get(form)
         if found is None:
             if len(self._kept) >= 50_000:
                 self._kept.clear()
-            found = self._kept[form] = self._decode(form)
+            reading = self._decode(form)
+            lettered = reading.isalpha() or any(sign.isalpha() for sign in form)
+            found = self._kept[form] = reading if lettered else form
         return found
 
     def _decode(self, form: str) -> str:
         model = self.model
         paths = {(0, 0): (0.0, None)}
         for readings in self.lattice(form):
+            if len(paths) == len(readings) == 1 and readings[0][0]:  # no choice, so no cost to compare
+                ((_, b), (cost, path)), letter = *paths.items(), readings[0][0]
+                s = ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
+                paths = {(b, s): (cost, (letter, path))}
+                continue
             new: dict = {}
             for (a, b), (cost, path) in paths.items():
                 for letter, channel in readings:
                     if letter:
                         s = ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
-                        state, total, way = (b, s), cost + channel + model[a, b, s], (letter, path)
+                        state, total, way = (b, s), cost + channel + model[(a * _SYMBOLS + b) * _SYMBOLS + s], (letter, path)
                     else:
                         state, total, way = (a, b), cost + channel, path
                     if state not in new or total > new[state][0]:
                         new[state] = (total, way)
             paths = new
-        (_, _), (_, path) = max(paths.items(), key=lambda x: x[1][0] + model[x[0][0], x[0][1], 0])
+        (_, _), (_, path) = max(paths.items(), key=lambda x: x[1][0] + model[(x[0][0] * _SYMBOLS + x[0][1]) * _SYMBOLS])
         out = []
         while path is not None:
             letter, path = path
@@ -130,36 +146,73 @@ class Reader:
         return "".join(reversed(out))
 
 
-_is_letter, _is_sign, _is_inner = (np.zeros(256, bool) for _ in range(3))
+_is_letter, _is_sign, _is_separator, _is_edge, _is_punctuation = (np.zeros(256, bool) for _ in range(5))
 _is_letter[97:123] = _is_letter[65:91] = _is_letter[128:] = True
 _is_sign[[ord(s) for s in SIGNS]] = True
-_is_inner[[ord(s) for s in SEPARATORS if s != " "]] = True
+_is_separator[[ord(s) for s in SEPARATORS if s != " "]] = True
+_is_edge[33:127] = ~(_is_letter | _is_sign)[33:127]
+_is_punctuation[[ord(s) for s in PUNCTUATION]] = True
+
+
+def _pairs(data: np.ndarray) -> np.ndarray:
+    """Places of letters that the next letter repeats, in any case; letters beyond ASCII are told apart roughly."""
+    same = np.zeros(len(data), bool)
+    if len(data) > 1:
+        low = data | 32
+        same[:-1] = _is_letter[data[:-1]] & (data[:-1] < 128) & _is_letter[data[1:]] & (low[:-1] == low[1:])
+        for size, least, most in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xF4)):
+            at = np.flatnonzero((data >= least) & (data <= most))
+            at = at[at + 2 * size <= len(data)]
+            same[at] = (data[at] == data[at + size]) & np.all([low[at + k] == low[at + size + k] for k in range(1, size)], axis=0)
+    return same
+
+
+def _cores(start: np.ndarray, end: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of words without the bytes ``outside`` at their ends; an empty span starts at its end."""
+    inside = np.append(np.flatnonzero(~outside), len(outside))
+    core_start = np.minimum(inside[np.searchsorted(inside, start)], end)
+    core_end = inside[np.maximum(np.searchsorted(inside, end) - 1, 0)] + 1
+    return core_start, np.where(core_start < end, core_end, core_start)
 
 
 def written_forms(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, str]]:
-    """(text, form) of words that may be obfuscated: signs before a letter, two separators or more inside, three equal letters, or three lone letters in a row."""
+    """(text, form) of all that may be obfuscated, without the punctuation at its ends.
+
+    Words with a sign, a separator inside or two equal letters in a row, and runs of
+    single letters, signs and separators with at least two letters or signs.
+    """
     found = words.split_words(offsets, data)
-    n = len(found.code)
-    if not n:
+    if not len(found.code):
         return []
-    letter = _is_letter[data]
-    next_letter = np.append(letter[1:], False)
-    odd = np.zeros(len(data), np.int64)
-    odd += 2 * (_is_sign[data] & next_letter)
-    odd += _is_inner[data] & next_letter
-    if len(data) > 2:
-        odd[:-2] += 2 * (letter[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:]) & (data[:-2] < 128))
-    total = np.concatenate([[0], np.cumsum(odd)])
-    lettered = np.concatenate([[0], np.cumsum(letter)])
-    strange = (total[found.end] - total[found.start] > 1) & (lettered[found.end] > lettered[found.start])
-    lone = (found.end - found.start == 1) & letter[found.start] & (data[found.start] < 128)
-    text = found.text
-    joined = lone[1:] & lone[:-1] & (text[1:] == text[:-1])
-    edge = np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8))
-    spans = [(a, b + 1) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if b - a >= 2]
-    spans += [(k, k + 1) for k in np.flatnonzero(strange)]
-    raw = data.tobytes()
-    return [(int(text[a]), " ".join(raw[found.start[k]:found.end[k]].decode().lower() for k in range(a, b))) for a, b in spans]
+    text, raw = found.text, data.tobytes()
+
+    def before(marks: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(marks)])
+
+    characters = before((data & 0xC0) != 0x80)
+    # a token of one character, punctuation apart, or one sign or separator alone
+    one_start, one_end = _cores(found.start, found.end, _is_edge[data] | _is_punctuation[data])
+    one = characters[one_end] - characters[one_start] == 1
+    alone = (one_start == one_end) & (found.end - found.start == 1) & (_is_punctuation | _is_separator)[data[found.start]]
+    one_start, one_end = np.where(alone, found.start, one_start), np.where(alone, found.end, one_end)
+    single = one | alone
+    joined = single[1:] & single[:-1] & (text[1:] == text[:-1])
+    bounds = np.diff(np.concatenate([[False], joined, [False]]).astype(np.int8))
+    solid = single & (_is_letter | _is_sign)[data[np.minimum(one_start, len(data) - 1)]]
+    places = np.flatnonzero(solid)
+    out = []
+    for a, b in zip(np.flatnonzero(bounds == 1), np.flatnonzero(bounds == -1) + 1):
+        left, right = np.searchsorted(places, [a, b])
+        if right - left >= 2:
+            spans = range(places[left], places[right - 1] + 1)
+            out.append((int(text[a]), " ".join(raw[one_start[k]:one_end[k]].decode().lower() for k in spans)))
+    # words; equal ones are written out once
+    start, end = _cores(found.start, found.end, _is_edge[data])
+    symbols = before(_is_sign[data] | _is_separator[data] | _pairs(data))
+    strange = np.flatnonzero((symbols[end] > symbols[start]) & (characters[end] - characters[start] > 1) & ~single)
+    _, first, which = np.unique(found.code[strange], return_index=True, return_inverse=True)
+    forms = [raw[start[k]:end[k]].decode().lower() for k in strange[first]]
+    return out + [(t, forms[w]) for t, w in zip(text[strange].tolist(), which.tolist())]
 
 
 def restored(offsets: np.ndarray, data: np.ndarray, reader: Reader) -> list[tuple[int, str]]:
