@@ -1,6 +1,7 @@
 """Line runs, near copies and test passages against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from llm_brute import dedup_lines, near_groups, test_hits
@@ -86,6 +87,26 @@ def test_odd_rows_of_line_runs(spark):
     assert line_dedup.deduplicated(given.limit(0)).count() == 0
 
 
+def test_rows_given_several_times_are_one_document(spark, monkeypatch):
+    draw = random.Random(8)
+    lines = [f"{sentence(draw, 2)} {k}" for k in range(60)]
+    rows = [(1, "\n".join(lines))] * 3 + [(2, "\n".join(["own", *lines]))] + [(None, "\n".join(["none", *lines[:8]]))] * 100
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    most = []
+
+    class Counting(line_dedup.Scratch):
+        def settle(self, df, name):
+            out = super().settle(df, name)
+            most.append(out.count())
+            return out
+
+    monkeypatch.setattr(line_dedup, "Scratch", Counting)
+    line_dedup.deduplicated(given, min_words=4)
+    assert max(most) <= 2 * (60 + 61 + 9)
+    found = Counter((r.doc_id, r.lines.n_lines, r.lines.n_deleted) for r in line_dedup.deduplicated(given).collect())
+    assert found == {(1, 60, 0): 3, (2, 61, 60): 1, (None, 9, 0): 100}
+
+
 def test_ranks_are_places_of_sorted_keys(spark):
     draw = random.Random(2)
     keys = [(draw.randint(0, 30), draw.randint(0, 3)) for _ in range(500)]

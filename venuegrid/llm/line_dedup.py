@@ -72,7 +72,7 @@ def deletions(scratch: Scratch, docs: DataFrame, min_words: int) -> DataFrame:
     sequences = docs.select("row", "doc_id", worded.alias("ls")).select(
         "row", "doc_id", F.transform("ls", lambda x: x["h"]).alias("ids"), c.let(counts, lambda w: _windows(w, min_words)).alias("runs"),
     )
-    sequences = scratch.settle(sequences, "sequences")
+    sequences = scratch.settle(sequences.dropDuplicates(["row"]), "sequences")  # copies of a row would multiply in every join
     places = sequences.select("row", F.posexplode("ids").alias("i", "line"))
     runs = sequences.select("row", "doc_id", F.explode("runs").alias("x")).select("row", "doc_id", F.col("x.at").alias("at"), F.col("x.size").alias("size"))
 
