@@ -208,6 +208,15 @@ def test_calibration():
     assert url_filter.calibrated([(1, "allow", 4)]) == 0
 
 
+def test_copies_of_a_row_lose_their_own_words_once(spark):
+    common, own = " ".join(f"c{'abcdefghi'[k]}" for k in range(9)), [" ".join(f"w{n}x{'abcdefghijklmnopqrstu'[k]}" for k in range(21)) for n in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(k, f"{common}\n{text}", "h") for k, text in enumerate(own)]
+    given = spark.createDataFrame([*rows, *rows[:1], *rows[1:2] * 30], "doc_id long, text string, source string")
+    found = quality_rules.judged(given).collect()
+    assert len(found) == len(rows) + 31
+    assert {(r.quality.n_words, r.quality.removed_words, r.quality.kept, len(r.quality.removed_lines)) for r in found} == {(30, 9, True, 1)}
+
+
 def test_odd_rows_of_quality_rules(spark):
     good = " ".join(f"w{k}" for k in range(30))
     rows = [(None, good, None), (1, None, "h"), (1, "", "h"), (2, good, "h"), (2, good, "h"), (3, "x " * 60_000, "h")] + [(k, f"Common 1{k} line\n{good} v{chr(97 + k % 26)}{chr(97 + k // 26)}", "hot") for k in range(10, 60)]

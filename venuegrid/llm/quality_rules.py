@@ -83,11 +83,15 @@ def judged(
         held = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host"), F.explode(own_lines).alias("l"))
         held = held.where("l.words > 0").groupBy("row", "host", "l.line").agg(F.sum("l.words").alias("words"))
         held = scratch.settle(held, "lines")
-        documents = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host")).distinct().groupBy("host").agg(F.count("*").alias("documents"))
+        given = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host")).groupBy("row", "host").agg(F.count("*").alias("copies"))
+        given = scratch.settle(given, "given")
+        documents = given.groupBy("host").agg(F.count("*").alias("documents"))
         counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
         counts = counts.join(documents, "host").where(F.col("n") > F.col("documents") * host_share)
         common = scratch.settle(counts.select("host", "line"), "common")
         gone = held.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("__gone"), F.collect_list("line").alias("__codes"))
+        copies = given.where("copies > 1").select("row", "copies")  # each copy has added the same words
+        gone = gone.join(copies, "row", "left").withColumn("__gone", F.expr("__gone div coalesce(copies, 1)")).drop("copies")
         gone = scratch.keep(gone, "removed")
     counted = plain.select("*", row.alias("__row"), *base_counts(plain[f"`{text}`"].cast("string")))
     joined = counted.join(gone, counted["__row"] == gone["row"], "left")
