@@ -118,7 +118,7 @@ def test_every_channel_symbol_opens_a_word(spark, toxic):
     trained = docs.select("text").unionByName(spark.createDataFrame([(f"{plain} see too Hannah. {plain}! 1998 250 - 3.75 4 6",)] * 40, "text string"))
     reader = toxicity.Reader(toxicity.character_model(trained))
     buffers = words.text_buffers(pa.array([f"banta {form} telri" for form in hidden]))
-    assert sorted(toxicity.restored(*buffers, reader)) == list(enumerate(hidden.values()))
+    assert sorted(found[:2] for found in toxicity.restored(*buffers, reader)) == list(enumerate(hidden.values()))
     kept = [f"{plain} see too Hannah.", f"{plain.title()}!", "2024 100 - 3.14 1 2 3 (banta) telri! \xc9\xe9", "banta - a telri-banta", "", None]
     assert toxicity.restored(*words.text_buffers(pa.array(kept)), reader) == []
 

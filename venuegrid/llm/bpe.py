@@ -4,7 +4,8 @@ The encoding of any byte prefix ends with exactly one token that may follow the
 encoding of what is before it. ``PrefixTable`` stores that token for each prefix, so
 bytes can be appended, and after an edit only the prefixes near it are done again.
 Texts are split by the rank files' usual pattern on arrays of code points; each
-distinct piece of a block is encoded once, and a worker keeps recent pieces.
+distinct piece of a run is encoded once, and a task keeps recent pieces up to a
+number of bytes and empties them when it ends.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from venuegrid.llm.rows import annotated, ragged
-from venuegrid.llm.words import _codes, _power, mix
+from venuegrid.llm.words import _codes, mix, power, runs
 
 #: Unicode's white space, and the endings that the pattern splits off after an apostrophe.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-PIECES_KEPT, PAIRS_KEPT = 150_000, 500_000
+BLOCK_BYTES = 1 << 20
+PIECE_BYTES_KEPT, PAIRS_KEPT = 16 << 20, 200_000  # until the task ends; bytes as estimated by ``_held``
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 RESULT = T.StructType([
@@ -41,19 +43,24 @@ class Encoder:
     def __init__(self, rank_file: bytes):
         pairs = [line.split() for line in rank_file.splitlines() if line.strip()]
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.token = {rank: token for token, rank in self.rank.items()}
+        self.token = [b""] * (max(self.rank.values()) + 1)
+        for token, rank in self.rank.items():
+            self.token[rank] = token
         self.longest = max(map(len, self.rank))
-        size = max(self.token) + 1
-        self.length = np.zeros(size, np.int64)
-        for rank, token in self.token.items():
-            self.length[rank] = len(token)
+        self.length = np.array([len(token) for token in self.token], np.int64)
         self.place = np.cumsum(self.length) - self.length
-        self.bytes = np.frombuffer(b"".join(self.token.get(r, b"") for r in range(size)), np.uint8)
+        self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
         # tokens that merging gives for their own bytes; others never occur inside a longer piece
-        self.whole = {token: rank for token, rank in self.rank.items() if self.merged(token) == [rank]}
+        whole = {token: rank for token, rank in self.rank.items() if self.merged(token) == [rank]}
+        self.whole = self.rank if len(whole) == len(self.rank) else whole
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty what is kept between pieces."""
         self._follows: dict[int, bool] = {}
         self._pieces: dict[bytes, tuple[int, ...]] = {}
         self._older: dict[bytes, tuple[int, ...]] = {}
+        self._held = 0
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens by merging the lowest-ranked neighbours, the definition; for short strings."""
@@ -111,9 +118,10 @@ class Encoder:
                     found = tuple(self.walk(last))
                 else:
                     found = (token,)
-            if len(self._pieces) >= PIECES_KEPT:
-                self._older, self._pieces = self._pieces, {}
+            if self._held >= PIECE_BYTES_KEPT:
+                self._older, self._pieces, self._held = self._pieces, {}, 0
             self._pieces[piece] = found
+            self._held += 200 + len(piece) + 40 * len(found)
         return found
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
@@ -207,13 +215,29 @@ def pieces(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.searchsorted(starts, offsets)
 
 
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Places before a blank or line break that follows a visible ASCII sign; no match of the pattern reaches over them."""
+    white, seen = (data[1:] == 0x20) | (data[1:] == 0x0A), (data[:-1] > 0x20) & (data[:-1] < 0x7F)
+    return np.flatnonzero(white & seen) + 1
+
+
 def encode_block(encoder: Encoder, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, first id of each text)."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    starts, first = pieces(offsets, data)
+    """(ids of all texts, first id of each text); long texts are done run by run."""
+    out, first, done = [], np.zeros(len(offsets), np.int64), 0
+    for at, to in runs(offsets, data, _cuts):
+        low, high = np.searchsorted(offsets, at), np.searchsorted(offsets, to, "right")
+        ids, places = _encode_run(encoder, offsets[low:high] - at, data[at:to])
+        first[low:high] = done + places
+        out.append(ids)
+        done += len(ids)
+    return np.concatenate(out) if out else np.zeros(0, np.int32), first
+
+
+def _encode_run(encoder: Encoder, edges: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids before each edge)."""
+    starts, first = pieces(edges, data)
     ends = np.append(starts[1:], len(data))
-    code = np.add.reduceat(_codes(False)[data] * _power("up", len(data))[:len(data)], starts) * _power("down", len(data))[starts]
+    code = np.add.reduceat(_codes(False)[data] * power("up", len(data)), starts) * power("down", len(data))[starts]
     _, example, which = np.unique(mix(code + (ends - starts).astype(np.uint64)), return_index=True, return_inverse=True)
     raw, ids, count = data.tobytes(), [], []
     for a, b in zip(starts[example].tolist(), ends[example].tolist()):
@@ -223,8 +247,7 @@ def encode_block(encoder: Encoder, offsets: np.ndarray, data: np.ndarray) -> tup
     count = np.array(count, np.int64)
     place = np.cumsum(count) - count
     of_piece = count[which]
-    out = np.array(ids, np.int64)[ragged(place[which], of_piece)]
-    return out, np.concatenate([[0], np.cumsum(of_piece)])[first]
+    return np.array(ids, np.int32)[ragged(place[which], of_piece)], np.concatenate([[0], np.cumsum(of_piece)])[first]
 
 
 @cache
@@ -245,6 +268,7 @@ def _start(shared, digests: bool):
             columns.append(pa.array([hashlib.sha256(plain[ends[d]:ends[d + 1]]).hexdigest() for d in spans]))
         return pa.StructArray.from_arrays(columns, names=RESULT.names[:len(columns)])
 
+    annotate.close = encoder.forget
     return annotate
 
 
@@ -256,6 +280,7 @@ def _start_ids(shared):
         lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
         return pa.StructArray.from_arrays([lists], names=["ids"])
 
+    annotate.close = encoder.forget
     return annotate
 
 
@@ -272,10 +297,10 @@ def with_digests(docs: DataFrame, rank_path: str, *, text: str = "text", into: s
     """
     shared = docs.sparkSession.sparkContext.broadcast(_rank_bytes(rank_path))  # the size of one vocabulary file
     kind = T.StructType(RESULT.fields if digests else RESULT.fields[:1])
-    return annotated(docs, text, into, kind, partial(_start, shared, digests))
+    return annotated(docs, text, into, kind, partial(_start, shared, digests), BLOCK_BYTES)
 
 
 def with_ids(docs: DataFrame, rank_path: str, *, text: str = "text", into: str = "bpe") -> DataFrame:
     """Every row with the struct ``into`` of the token ids; cases as in ``with_digests``."""
     shared = docs.sparkSession.sparkContext.broadcast(_rank_bytes(rank_path))
-    return annotated(docs, text, into, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), partial(_start_ids, shared))
+    return annotated(docs, text, into, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))]), partial(_start_ids, shared), BLOCK_BYTES)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.llm import (
-    answers, bpe, chat, decontamination, interpolation, line_dedup, ngram_join, quality_rules, token_counts, toxicity, url_filter,
+    answers, bpe, chat, decontamination, interpolation, line_dedup, ngram_join, quality_rules, simhash, token_counts, toxicity, url_filter,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op10_decontamination(spark, sf):
         "doc_id", F.col("m.n_words").alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op12_simhash(spark, sf):
+    return simhash.near_copies(table(spark, sf, "documents").select("doc_id", "text"))

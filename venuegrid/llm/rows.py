@@ -16,10 +16,11 @@ from venuegrid.llm.ship import ship
 Annotate = Callable[[np.ndarray, np.ndarray], pa.StructArray]
 
 
-def annotated(df: DataFrame, text: str, into: str, kind: T.StructType, start: Callable[[], Annotate]) -> DataFrame:
+def annotated(df: DataFrame, text: str, into: str, kind: T.StructType, start: Callable[[], Annotate], block_bytes: int = words.BLOCK_BYTES) -> DataFrame:
     """All rows and columns of ``df`` with the struct column ``into``; a column of that name is replaced.
 
-    ``start`` runs once in each task and returns the function for its blocks.
+    ``start`` runs once in each task and returns the function for its blocks; what
+    that function keeps for later blocks, its ``close`` empties when the task ends.
     Rows stay where they are, so equal rows, missing ids and extra columns need
     no treatment, and a lost task is simply done again.
     """
@@ -28,9 +29,13 @@ def annotated(df: DataFrame, text: str, into: str, kind: T.StructType, start: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         annotate = start()
-        for rows, offsets, data in words.blocks(batches, text):
-            found = annotate(offsets, data)
-            yield pa.RecordBatch.from_arrays([*rows.columns, found], names=[*rows.schema.names, into])
+        try:
+            for rows, offsets, data in words.blocks(batches, text, block_bytes):
+                found = annotate(offsets, data)
+                yield pa.RecordBatch.from_arrays([*rows.columns, found], names=[*rows.schema.names, into])
+        finally:
+            getattr(annotate, "close", words.let_go)()
+            words.let_go()
 
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, T.StructField(into, kind)]))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuegrid.llm.bpe import with_digests
+from venuegrid.llm.scratch import Scratch
 
 _SPAN = 1024  # lengths of one part of the running sums
 
@@ -22,10 +23,17 @@ def limit_table(histogram: DataFrame) -> DataFrame:
     ``documents``; ``documents_over`` and ``tokens_over``: of texts longer than the
     limit; ``documents_within``: of texts that fit; ``truncated_tokens``: tokens left
     when every text is cut at the limit; ``tokens``, ``all_documents``: of all texts.
-    Sums run inside spans of lengths and over the spans, so no task holds all
-    lengths. Missing or repeated lengths are added up first; none gives no lines.
+    The histogram is worked out once and written, a line for each length. Sums run
+    inside spans of lengths and over the spans, so no task holds all lengths. Missing
+    or repeated lengths are added up first; none gives no lines. Texts of any length
+    count with their whole length.
     """
-    lines = histogram.groupBy("length").agg(F.sum("documents").alias("documents")).withColumn("span", F.expr(f"length div {_SPAN}"))
+    with Scratch(histogram.sparkSession) as scratch:
+        lines = scratch.settle(histogram.groupBy("length").agg(F.sum("documents").alias("documents")), "lengths")
+        return scratch.keep(_limits(lines.withColumn("span", F.expr(f"length div {_SPAN}"))), "limits")
+
+
+def _limits(lines: DataFrame) -> DataFrame:
     spans = lines.groupBy("span").agg(F.sum("documents").alias("d"), F.sum(F.col("documents") * F.col("length")).alias("t"))
     later, everything = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     zero = F.lit(0).cast("long")

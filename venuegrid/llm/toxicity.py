@@ -5,8 +5,8 @@ letters repeated are read as lattices: each sign may stand for some letters, eac
 separator may be nothing, each repeat may be dropped. Viterbi decoding under a
 character trigram model, trained on all documents, picks the reading. A word without
 such a symbol has one path and stays; for the others it costs little to keep pairs of
-letters, numbers, and punctuation at the ends. The text with the readings is scored by a logistic model on
-words and word beginnings, fitted on a bounded sample of labelled documents.
+letters, numbers, and punctuation at the ends. The restored text, in which readings stand for what was written,
+is scored by a logistic model on words and word beginnings, fitted on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ _SYMBOL = _symbols()
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(_SYMBOLS**3, np.int64)
     for _, _, data in words.blocks(batches):
-        s = _SYMBOL[data]
-        if len(s) > 2:
+        for at in range(0, len(data) - 2, words.RUN_BYTES):
+            s = _SYMBOL[data[at:at + words.RUN_BYTES + 2]]
             counts += np.bincount((s[:-2] * _SYMBOLS + s[1:-1]) * _SYMBOLS + s[2:], minlength=_SYMBOLS**3)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["code", "n"])
@@ -175,8 +175,8 @@ def _cores(start: np.ndarray, end: np.ndarray, outside: np.ndarray) -> tuple[np.
     return core_start, np.where(core_start < end, core_end, core_start)
 
 
-def written_forms(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, str]]:
-    """(text, form) of all that may be obfuscated, without the punctuation at its ends.
+def written_forms(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, str, int, int]]:
+    """(text, form, first byte, end) of all that may be obfuscated, without the punctuation at its ends.
 
     Words with a sign, a separator inside or two equal letters in a row, and runs of
     single letters, signs and separators with at least two letters or signs.
@@ -205,57 +205,64 @@ def written_forms(offsets: np.ndarray, data: np.ndarray) -> list[tuple[int, str]
         left, right = np.searchsorted(places, [a, b])
         if right - left >= 2:
             spans = range(places[left], places[right - 1] + 1)
-            out.append((int(text[a]), " ".join(raw[one_start[k]:one_end[k]].decode().lower() for k in spans)))
+            form = " ".join(raw[one_start[k]:one_end[k]].decode().lower() for k in spans)
+            out.append((int(text[a]), form, int(one_start[spans[0]]), int(one_end[spans[-1]])))
     # words; equal ones are written out once
     start, end = _cores(found.start, found.end, _is_edge[data])
     symbols = before(_is_sign[data] | _is_separator[data] | _pairs(data))
     strange = np.flatnonzero((symbols[end] > symbols[start]) & (characters[end] - characters[start] > 1) & ~single)
     _, first, which = np.unique(found.code[strange], return_index=True, return_inverse=True)
     forms = [raw[start[k]:end[k]].decode().lower() for k in strange[first]]
-    return out + [(t, forms[w]) for t, w in zip(text[strange].tolist(), which.tolist())]
+    return out + [(t, forms[w], a, b) for t, w, a, b in zip(*(x.tolist() for x in (text[strange], which, start[strange], end[strange])))]
 
 
-def restored(offsets: np.ndarray, data: np.ndarray, reader: Reader) -> list[tuple[int, str]]:
-    """(text, reading) where the reading differs from the written form."""
+def restored(offsets: np.ndarray, data: np.ndarray, reader: Reader) -> list[tuple[int, str, int, int]]:
+    """(text, reading, first byte, end of the written form) where the reading differs from the written form."""
     out = []
-    for text, form in written_forms(offsets, data):
+    for text, form, start, end in written_forms(offsets, data):
         reading = reader.read(form)
         if reading != form:
-            out.append((text, reading))
+            out.append((text, reading, start, end))
     return out
 
 
-def _codes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, code) of words and word beginnings."""
+def _codes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, code, first byte) of words and word beginnings."""
     found = words.split_words(offsets, data, "letters")
     if not len(found.code):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    terms = words._codes(True)[data] * words._power("up", len(data))[:len(data)]
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    terms = words._codes(True)[data] * words.power("up", len(data))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
-    text, down = found.text, words._power("down", len(data))[found.start]
-    texts, codes = [text], [found.code]
+    text, down = found.text, words.power("down", len(data))[found.start]
+    starts, texts, codes = [found.start], [text], [found.code]
     for k in BEGINNINGS:
         long = np.flatnonzero(found.end - found.start > k)
+        starts.append(found.start[long])
         texts.append(text[long])
         codes.append(words.mix((total[found.start[long] + k] - total[found.start[long]]) * down[long] + np.uint64(1_000 + k)))
-    return np.concatenate(texts), np.concatenate(codes)
+    return np.concatenate(texts), np.concatenate(codes), np.concatenate(starts)
 
 
 def features(offsets: np.ndarray, data: np.ndarray, reader: Reader) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
-    """(text, code) pairs of the texts and of their readings, with repeats, and the readings."""
-    text, code = _codes(offsets, data)
-    readings = restored(offsets, data, reader)
+    """(text, code) pairs of the restored texts, with repeats, and the readings: a reading stands in the place of its written form."""
+    text, code, start = _codes(offsets, data)
+    found = restored(offsets, data, reader)
+    readings = [(t, r) for t, r, _, _ in found]
     if readings:
-        more = words.text_buffers(pa.array([r for _, r in readings], pa.string()))
-        at, extra = _codes(*more)
-        text, code = np.concatenate([text, np.array([t for t, _ in readings])[at]]), np.concatenate([code, extra])
+        from_to = np.array([(a, b) for _, _, a, b in found])
+        replaced = np.zeros(len(data) + 1, np.int32)
+        np.add.at(replaced, from_to[:, 0], 1)
+        np.add.at(replaced, from_to[:, 1], -1)
+        kept = np.cumsum(replaced)[start] == 0
+        more, extra, _ = _codes(*words.text_buffers(pa.array([r for _, r in readings], pa.string())))
+        text, code = np.concatenate([text[kept], np.array([t for t, _ in readings])[more]]), np.concatenate([code[kept], extra])
     return text, code, readings
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """In how many texts of each class each code occurs."""
     reader = Reader(shared.value)
-    for rows, offsets, data in words.blocks(batches):
+    for rows, offsets, data in words.blocks(batches, size=words.RUN_BYTES):
         text, code, _ = features(offsets, data, reader)
         toxic = rows.column("toxic").to_numpy()
         order = np.lexsort((text, code))
@@ -271,7 +278,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
 def _presence(batches: Iterator[pa.RecordBatch], shared, chosen) -> Iterator[pa.RecordBatch]:
     """Which chosen codes each text holds."""
     reader, table = Reader(shared.value), Chosen(chosen.value)
-    for rows, offsets, data in words.blocks(batches):
+    for rows, offsets, data in words.blocks(batches, size=words.RUN_BYTES):
         text, place = table.found(*features(offsets, data, reader)[:2])
         lists = [[] for _ in range(rows.num_rows)]
         for t, p in zip(text.tolist(), place.tolist()):
@@ -394,7 +401,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text", into: str = "to
     texts score alike. A column named ``into`` is replaced. Texts may be of any length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FEATURES and the fixed symbols
-    return annotated(docs, text, into, RESULT, partial(_start, shared))
+    return annotated(docs, text, into, RESULT, partial(_start, shared), words.RUN_BYTES)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
