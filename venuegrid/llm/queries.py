@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.llm import (
-    answers, bpe, chat, decontamination, interpolation, line_dedup, ngram_join, quality_rules, simhash, token_counts, toxicity, url_filter,
+    answers, bpe, chat, decontamination, interpolation, line_dedup, ngram_join, quality_rules, simhash, structure, token_counts, toxicity,
+    url_filter,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +108,8 @@ def op10_decontamination(spark, sf):
 @query
 def op12_simhash(spark, sf):
     return simhash.near_copies(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op13_structure_repair(spark, sf):
+    return structure.audited(table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
