@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from venuegrid.llm import (
     answers, bpe, chat, decontamination, interpolation, line_dedup, ngram_join, quality_rules, simhash, structure, token_counts, toxicity,
-    url_filter,
+    url_filter, whitening,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,11 @@ def op10_decontamination(spark, sf):
     )
 
 
+@query
+def op11_whitening(spark, sf):
+    return whitening.whitened(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op12_simhash(spark, sf):
     return simhash.near_copies(table(spark, sf, "documents").select("doc_id", "text"))
