@@ -85,20 +85,27 @@ def test_any_quantile(spark, numbers, p):
     assert math.isclose(got["q"], want, rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_close_values_beside_an_outlier_are_cut_until_leaves_are_small(spark, monkeypatch):
+def test_many_values_are_ranked_range_by_range(spark, monkeypatch):
     from venuegrid.functions import ranks
 
-    written, write = [], ranks.settle
+    written, write = {}, ranks.settle
 
     def noted(frame, name):
-        out = write(frame, name)
-        written.append(out)
-        return out
+        written[name] = write(frame, name)
+        return written[name]
 
     monkeypatch.setattr(ranks, "settle", noted)
-    close = [(1000.0 + k * 1e-9,) for k in range(3000)] + [(1040.0,), (1000.05,), (float("inf"),), (float("-inf"),), (1e308,)]
+    close = [(1000.0 + k * 1e-9,) for k in range(3000)] + [(1040.0,), (1000.05,), (float("inf"),), (float("-inf"),), (1e308,)] * 2
     rows = value_ranks(spark.createDataFrame(close, "x double"), [], "x", leaf_rows=100).collect()
     ordered = sorted(x for x, in close)
-    assert {r["x"]: (r["below"], r["equal"]) for r in rows} == {x: (ordered.index(x), ordered.count(x)) for x in set(ordered)}
-    cells = [f for f in written if "_rows" in f.columns]
-    assert len(cells) == 3 and cells[-1].where("_lo < _hi").agg(F.max("_rows")).head()[0] <= 100
+    assert {r["x"]: (r["below"], r["equal"], r["total"]) for r in rows} == {x: (ordered.index(x), ordered.count(x), len(close)) for x in set(ordered)}
+    largest = written["ranges"].groupBy("_part").count().agg(F.max("count")).head()[0]
+    assert largest < 0.6 * len(set(ordered))
+
+
+def test_rows_are_counted_before_they_are_sorted(spark):
+    rows = spark.range(10_000).select((F.col("id") % 3).alias("x"))
+    lines, _ = __import__("venuegrid.functions.ranks", fromlist=["_counted"])._counted(rows, [], "x", None)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") >= 2 and "Sort" not in plan
+    assert quantiles(spark.createDataFrame([(1.0, 3), (9.0, 1)], "x double, w long"), [], "x", {"q": 0.5}, weight="w").head()["q"] == 1.0

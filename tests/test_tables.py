@@ -37,15 +37,15 @@ def test_missing_files_are_named(spark, tmp_path):
 
 
 def test_cleaning_job(spark, csv, tmp_path):
-    tables, report = publish.clean_and_write(spark, csv, str(tmp_path / "out"))
+    out = str(tmp_path / "out")
+    tables, report = publish.clean_and_write(spark, csv, out)
     assert tables.listings.count() == 2
     assert {(r["restaurant_id"], r["cuisine"]) for r in tables.labels.collect()} == {(1, "Thai"), (1, "Pizza")}
-    line = report.collect()[0]
-    assert (line["rows"], line["unrated_rows"], line["invalid_coordinate_rows"]) == (2, 1, 1)
-    assert line["missing_by_column"]["cuisines"] == 1 and line["currency_counts"]["X"] == 2
-    assert line["country_currency_mappings"]["1"] == ["X"]
-    loaded = files.load_processed(spark, str(tmp_path / "out" / "listings"))
-    assert loaded.where("cost_category = 'Unknown'").count() == 1
+    held = {(r.section, r.subject, r.measure): r.amount if r.amount is not None else r.content for r in report.collect()}
+    assert [held["counter", c, "count"] for c in ("rows", "unrated_rows", "invalid_coordinate_rows", "columns")] == [2, 1, 1, 21]
+    assert held["column", "cuisines", "missing"] == 1 and held["currency", "X", "rows"] == 2 and held["country_currency", "1", "value"] == "X"
+    assert publish.load_tables(spark, out).listings.where("cost_category = 'Unknown'").count() == 1
+    assert publish.load_quality_report(spark, out).count() == report.count()
 
 
 def test_tables_are_built_once(spark, csv, tmp_path):

@@ -1,66 +1,55 @@
 """Exact ranks and quantiles of groups that may be too large for one task.
 
-A window over a whole group, or the built-in exact ``percentile``, gathers every
-distinct value of a group in one task. Here a group is first cut into cells by a
-monotone function of the value. Only per-cell counts are ever brought together;
-values are looked at cell by cell, in parallel.
-
-Cells are equally wide on a log scale, so their number is limited whatever the
-data. A cell that still holds many rows is cut again between the smallest and
-the largest value seen in it.
+A window over the rows of a group, or the built-in exact ``percentile``, gathers a
+group in one task. Here equal values are counted first, with partial sums before the
+shuffle, so a value that very many rows share is one line. The lines are written once. If they
+are few, one window adds up each group. Otherwise they are sorted by range over
+all tasks, and each range counts on from the totals of the ranges before it, so
+a task never holds more than its range.
 """
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venuegrid.functions.joins import null_safe_join
-from venuegrid.session import settle
+from venuegrid.session import settle, settle_counted
 
-CELLS_PER_E = 16         # cells per factor e of magnitude: 6 % wide
-LEAF_ROWS = 2_000_000    # the distinct values of a cell of this size are sorted in one task
-SPLIT = 1024             # parts a larger cell is cut into
+LEAF_ROWS = 2_000_000    # distinct values of all groups up to which a window over a whole group is used
 
-_ZERO_CELL = 746 * CELLS_PER_E  # above |ln| of the smallest positive double
 
-
-def log_cell(value: Column) -> Column:
-    """Cell number, non-decreasing in ``value`` over negatives, zero and positives; infinities are in the outermost cells."""
-    v = value.cast("double")
-    size = F.floor(F.log(F.least(F.abs(v), F.lit(sys.float_info.max))) * CELLS_PER_E) + F.lit(_ZERO_CELL).cast("bigint")
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("bigint"))
-
-
-def _part(value: Column, lo: Column, hi: Column, parts: Column, kind: T.DataType) -> Column:
-    """Which of ``parts`` equal pieces of [lo, hi] holds ``value``."""
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType)):
-        value, lo, hi = (c.cast("decimal(20,0)") for c in (value, lo, hi))
-    ratio = F.nanvl(F.try_divide((value - lo).cast("double"), (hi - lo).cast("double")), F.lit(1.0))  # infinity is above the rest
-    piece = F.least(F.floor(ratio * parts), parts - 1)
-    return F.coalesce(piece, F.lit(0)).cast("bigint")
-
-
-def _base(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> tuple[DataFrame, list[str], T.DataType]:
-    """Keys and value only; a constant key stands in for an empty ``by``."""
-    kind = df.schema[value].dataType
+def _counted(df: DataFrame, by: Sequence[str], value: str, weight: str | None) -> tuple[DataFrame, list[str]]:
+    """Keys, ``_v`` and ``equal``, a line for each distinct value; a constant key stands in for an empty ``by``."""
     keep = F.col(value).isNotNull()
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
         keep = keep & ~F.isnan(value)
     keys = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
     counted = [F.col(weight).cast("bigint").alias("_w")] if weight else []
-    return df.where(keep).select(*keys, F.col(value).alias("_v"), *counted), list(by) or ["_all"], kind
-
-
-def _locate(cells: DataFrame, keys: list[str], order: list[str], start: Column) -> DataFrame:
-    """Rows below each cell: a running sum over cell counts, not over rows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return cells.withColumn("_below", start + F.sum("_n").over(w) - F.col("_n"))
+    rows = df.where(keep).select(*keys, F.col(value).alias("_v"), *counted)
+    names = list(by) or ["_all"]
+    return rows.groupBy(*names, "_v").agg((F.sum("_w") if weight else F.count("*")).alias("equal")), names
+
+
+def _placed(df: DataFrame, by: Sequence[str], value: str, weight: str | None, leaf_rows: int) -> tuple[DataFrame, list[str]]:
+    """Each distinct value of each group with ``equal``, ``below`` and ``total``."""
+    lines, keys = _counted(df, by, value, weight)
+    lines, n = settle_counted(lines, "values")
+    if n <= leaf_rows:
+        group = Window.partitionBy(*keys)
+        below = F.sum("equal").over(group.orderBy("_v")) - F.col("equal")
+        return lines.withColumns({"below": below, "total": F.sum("equal").over(group)}), keys
+    dealt = settle(lines.repartitionByRange(2 * -(-n // leaf_rows), *keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(*keys, "_part").agg(F.sum("equal").alias("_n"))  # a line for each range, and for each group in it
+    group = Window.partitionBy(*keys)
+    before = F.sum("_n").over(group.orderBy("_part")) - F.col("_n")
+    starts = totals.select(*keys, "_part", before.alias("_start"), F.sum("_n").over(group).alias("total"))
+    inside = F.sum("equal").over(Window.partitionBy(*keys, "_part").orderBy("_v")) - F.col("equal")
+    placed = null_safe_join(dealt.withColumn("_inside", inside), starts, [*keys, "_part"])
+    return placed.select(*keys, "_v", "equal", (F.col("_start") + F.col("_inside")).alias("below"), "total"), keys
 
 
 def order_statistics(
@@ -69,60 +58,23 @@ def order_statistics(
     value: str,
     ranks: Callable[[Column], Column],
     leaf_rows: int = LEAF_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Values at given 0-based ranks of each group, exact.
 
     ``ranks`` maps the group size to an array of ranks. The result has the keys
     plus ``total``, ``rank``, ``value``, ``below`` (rows strictly smaller than the
-    value) and ``equal`` (rows equal to it). Null keys form a group.
+    value) and ``equal`` (rows equal to it). Null keys form a group. With
+    ``weight``, every row stands for that many rows.
     """
-    base, keys, kind = _base(df, by, value)
-    stats = [F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-
-    base = base.withColumn("_c", log_cell(F.col("_v")))
-    cells = base.groupBy(*keys, "_c").agg(*stats)
-    cells = _locate(cells, keys, ["_c"], F.lit(0))
-    cells = cells.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
-    found = cells.withColumn("rank", F.explode(F.array_distinct(ranks(F.col("total")))))
-    inside = (F.col("rank") >= F.col("_below")) & (F.col("rank") < F.col("_below") + F.col("_n"))
-    found = settle(found.where(inside), "cells")
-    keys = keys + ["_c"]  # from here on, rows meet ranks inside their cell
-
-    # Cut large cells again until each wanted rank sits in a small piece.
-    wide = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > leaf_rows)
-    while found.where(wide).head(1):  # the smallest and the largest value of a cell always part
-        big = found.where(wide).withColumnsRenamed({"_lo": "_slo", "_hi": "_shi", "_below": "_start"})
-        spans = big.select(*keys, "_slo", "_shi", "_start").distinct()
-        hit = null_safe_join(base, spans, keys, where=F.col("_v").between(F.col("_slo"), F.col("_shi")))
-        piece = _part(F.col("_v"), F.col("_slo"), F.col("_shi"), F.lit(SPLIT), kind)
-        span = keys + ["_slo", "_shi", "_start"]
-        parts = hit.groupBy(*span, piece.alias("_p")).agg(*stats)
-        parts = _locate(parts, span, ["_p"], F.col("_start")).drop("_p", "_start")
-        asked = big.select(*keys, "_slo", "_shi", "total", "rank")
-        cut = null_safe_join(asked, parts, keys + ["_slo", "_shi"], where=inside).drop("_slo", "_shi")
-        found = settle(cut.unionByName(found.where(~wide)), "cells")
-
-    # A cell with one value needs no further look at the data.
-    single = found.where(F.col("_lo") == F.col("_hi")).select(
-        *keys, "total", "rank", F.col("_lo").alias("value"),
-        F.col("_below").alias("below"), F.col("_n").alias("equal"),
-    )
-    mixed = found.where(F.col("_lo") < F.col("_hi"))
-    spans = mixed.select(*keys, "_lo", "_hi", F.col("_below").alias("_start")).distinct()
-    hit = null_safe_join(base, spans, keys, where=F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    span = keys + ["_lo", "_hi", "_start"]
-    counts = hit.groupBy(*span, F.col("_v").alias("value")).agg(F.count("*").alias("equal"))
-    cell = Window.partitionBy(*span).orderBy("value")
-    counts = counts.withColumn("below", F.col("_start") + F.sum("equal").over(cell) - F.col("equal"))
-    asked = mixed.select(*keys, "_lo", "_hi", "total", "rank")
-    reached = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("equal"))
-    several = null_safe_join(asked, counts, keys + ["_lo", "_hi"], where=reached)
-    several = several.select(*keys, "total", "rank", "value", "below", "equal")
-    return single.unionByName(several).select(*by, "total", "rank", "value", "below", "equal")
+    placed, _ = _placed(df, by, value, weight, leaf_rows)
+    here = F.filter(F.array_distinct(ranks(F.col("total"))), lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("equal")))
+    found = placed.withColumn("rank", F.explode(here))
+    return found.select(*by, "total", "rank", F.col("_v").alias("value"), "below", "equal")
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], leaf_rows: int = LEAF_ROWS
+    df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], leaf_rows: int = LEAF_ROWS, weight: str | None = None,
 ) -> DataFrame:
     """One row per group with ``n`` and one linearly interpolated quantile per name."""
 
@@ -133,7 +85,7 @@ def quantiles(
         ends = [f(position(total, p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
         return F.array(*ends)
 
-    stats = order_statistics(df, by, value, wanted, leaf_rows)
+    stats = order_statistics(df, by, value, wanted, leaf_rows, weight)
     picked = [F.max("total").alias("n")]
     for name, p in probs.items():
         at = position(F.col("total"), p)
@@ -154,36 +106,8 @@ def value_ranks(
     The average rank of a value is ``below + (equal + 1) / 2``. With ``weight``,
     every row stands for that many rows.
     """
-    base, keys, kind = _base(df, by, value, weight)
-    tally = F.sum("_w") if weight else F.count("*")
-    own = ["_v", "_w"] if weight else ["_v"]
-    stats = [tally.alias("_n"), F.count("*").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    wide = (F.col("_lo") < F.col("_hi")) & (F.col("_rows") > leaf_rows)
-
-    # Cut cells into parts until each holds few rows or one value; only rows of large cells go on.
-    rows = base.select(*keys, *own, F.lit("").alias("_cell"), F.lit(0).cast("bigint").alias("_start"), log_cell(F.col("_v")).alias("_p"))
-    leaves, known = [], []
-    while True:
-        span = [*keys, "_cell", "_start", *known]
-        cells = _locate(rows.groupBy(*span, "_p").agg(*stats), span, ["_p"], F.col("_start"))
-        if not known:
-            cells = cells.withColumn("total", F.sum("_n").over(Window.partitionBy(*keys)))
-        cells = settle(cells.drop("_start", "_n"), "cells")
-        placed = null_safe_join(rows.drop("_start", *known), cells, [*keys, "_cell", "_p"])
-        leaves.append(placed.where(~wide).select(*keys, "_cell", "_p", "_below", "total", *own))
-        if not cells.where(wide).head(1):
-            break
-        piece = _part(F.col("_v"), F.col("_lo"), F.col("_hi"), F.lit(SPLIT), kind)
-        deeper = F.concat("_cell", F.lit("/"), "_p")
-        rows = placed.where(wide).select(*keys, *own, deeper.alias("_cell"), F.col("_below").alias("_start"), "total", piece.alias("_p"))
-        rows, known = settle(rows, "parts"), ["total"]
-
-    leaf = [*keys, "_cell", "_p"]
-    counts = reduce(DataFrame.unionByName, leaves).groupBy(*leaf, "_below", "total", "_v").agg(tally.alias("equal"))
-    run = F.sum("equal").over(Window.partitionBy(*leaf).orderBy("_v")) - F.col("equal")
-    return counts.select(
-        *by, F.col("_v").alias(value), "equal", (F.col("_below") + run).alias("below"), "total"
-    )
+    placed, _ = _placed(df, by, value, weight, leaf_rows)
+    return placed.select(*by, F.col("_v").alias(value), "equal", "below", "total")
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:

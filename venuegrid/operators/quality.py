@@ -68,39 +68,50 @@ def duplicate_id_groups(df: DataFrame) -> DataFrame:
     return repeated.agg(F.count("*").alias("exact_duplicate_id_rows"))
 
 
-def invalid_coordinates(df: DataFrame) -> DataFrame:
-    """Profile count (missing, out of range or placeholder) and plain missing count."""
+def bad_coordinate() -> Column:
+    """Whether a row's coordinates are missing, out of range or the placeholder."""
     lon, lat = F.col("longitude"), F.col("latitude")
     outside = F.coalesce(~lon.between(-180, 180), F.lit(True)) | F.coalesce(~lat.between(-90, 90), F.lit(True))
     placeholder = F.coalesce((lon == 0) & (lat == 0), F.lit(False))
+    return outside | placeholder
+
+
+def invalid_coordinates(df: DataFrame) -> DataFrame:
+    """Profile count (missing, out of range or placeholder) and plain missing count."""
+    lon, lat = F.col("longitude"), F.col("latitude")
     return df.agg(
-        F.count_if(outside | placeholder).alias("invalid_coordinate_rows"),
+        F.count_if(bad_coordinate()).alias("invalid_coordinate_rows"),
         F.count_if(lon.isNull() | lat.isNull()).alias("missing_coordinates"),
     )
 
 
-def domain_violations(df: DataFrame) -> DataFrame:
-    """Counts of out-of-domain values on clean or raw rows.
+def violations() -> dict[str, Column]:
+    """What makes a value out of domain, by the name of its count.
 
     ``invalid_*`` takes a missing value as invalid; ``out_of_range_*`` does not.
     """
     rating, price = F.col("aggregate_rating"), F.col("price_range")
     votes, cost = F.col("votes"), F.col("average_cost_for_two")
     no_label = F.col("cuisines").isNull() | (F.btrim("cuisines") == "")
-    return df.agg(
-        F.count_if(no_label).alias("missing_cuisine"),
-        F.count_if(cost == 0).alias("zero_cost_rows"),
-        F.count_if(cost < 0).alias("negative_cost"),
-        F.count_if(rating == 0).alias("unrated_rows"),
-        F.count_if(F.coalesce(~rating.between(0, 5), F.lit(True))).alias("invalid_ratings"),
-        F.count_if(F.coalesce(~price.isin(PRICE_BANDS), F.lit(True))).alias("invalid_price_ranges"),
-        F.count_if(~rating.between(0, 5)).alias("out_of_range_rating"),
-        F.count_if(~price.between(1, 4)).alias("out_of_range_price"),
-        F.count_if(votes < 0).alias("negative_votes"),
-    )
+    return {
+        "missing_cuisine": no_label,
+        "zero_cost_rows": cost == 0,
+        "negative_cost": cost < 0,
+        "unrated_rows": rating == 0,
+        "invalid_ratings": F.coalesce(~rating.between(0, 5), F.lit(True)),
+        "invalid_price_ranges": F.coalesce(~price.isin(PRICE_BANDS), F.lit(True)),
+        "out_of_range_rating": ~rating.between(0, 5),
+        "out_of_range_price": ~price.between(1, 4),
+        "negative_votes": votes < 0,
+    }
+
+
+def domain_violations(df: DataFrame) -> DataFrame:
+    """Counts of out-of-domain values on clean or raw rows."""
+    return df.agg(*[F.count_if(wrong).alias(name) for name, wrong in violations().items()])
 
 
-def _fences(q1: Column, q3: Column) -> tuple[Column, Column]:
+def fences(q1: Column, q3: Column) -> tuple[Column, Column]:
     spread = q3 - q1
     return q1 - 1.5 * spread, q3 + 1.5 * spread
 
@@ -111,7 +122,7 @@ def iqr_fences_by_group(
     """Per group, missing group included: positive values, both fences, rows above the upper one."""
     kept = df.where(F.col(value) > 0).select(group, value)
     fenced = quantiles(kept, [group], value, {"q1": 0.25, "q3": 0.75}, leaf_rows)
-    lower, upper = _fences(F.col("q1"), F.col("q3"))
+    lower, upper = fences(F.col("q1"), F.col("q3"))
     fenced = fenced.select(group, lower.alias("iqr_lower_fence"), upper.alias("iqr_upper_fence"))
     keys = ["iqr_lower_fence", "iqr_upper_fence"]
     seen = null_safe_join(kept, fenced, [group]).groupBy(group, *keys).agg(
@@ -132,7 +143,7 @@ def iqr_report(df: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     values = df.select(
         rating.alias("aggregate_rating_rated_only"), F.col("votes").cast("double").alias("votes")
     ).unpivot([], ["aggregate_rating_rated_only", "votes"], "measure", "value").where("value is not null")
-    lower, upper = _fences(F.col("q1"), F.col("q3"))
+    lower, upper = fences(F.col("q1"), F.col("q3"))
     fenced = quantiles(values, ["measure"], "value", {"q1": 0.25, "q3": 0.75}, leaf_rows).select(
         "measure", lower.alias("iqr_lower_fence"), upper.alias("iqr_upper_fence")
     )
@@ -148,11 +159,16 @@ def code_currency_map(df: DataFrame) -> DataFrame:
     return pairs.groupBy("country_code").agg(F.sort_array(F.collect_list("currency")).alias("currencies"))
 
 
+def rating_and_text_differ(rating: Column) -> Column:
+    """Whether a rating of 0 and the text for it do not go together."""
+    zero = F.coalesce(rating == 0, F.lit(False))
+    named = F.coalesce(F.col("rating_text") == NOT_RATED_TEXT, F.lit(False))
+    return zero != named
+
+
 def zero_rating_text_mismatch(df: DataFrame) -> DataFrame:
     """Rows where a rating of 0 and the text for it do not go together."""
-    zero = F.coalesce(to_number(F.col("aggregate_rating")) == 0, F.lit(False))
-    named = F.coalesce(F.col("rating_text") == NOT_RATED_TEXT, F.lit(False))
-    return df.agg(F.count_if(zero != named).alias("rating_text_mismatches"))
+    return df.agg(F.count_if(rating_and_text_differ(to_number(F.col("aggregate_rating")))).alias("rating_text_mismatches"))
 
 
 def flag_domains(df: DataFrame, flags: Sequence[str] = SERVICE_FLAGS) -> DataFrame:
@@ -181,7 +197,7 @@ def cost_outliers(
     """Rows above the upper fence of their group, with the quartiles and the fence."""
     kept = df.where((F.col(value) > 0) & F.col(group).isNotNull()).select(*carried, group, value)
     fences = quantiles(kept, [group], value, {"q1": 0.25, "q3": 0.75}, leaf_rows).select(
-        group, "q1", "q3", _fences(F.col("q1"), F.col("q3"))[1].alias("upper_iqr_fence")
+        group, "q1", "q3", fences(F.col("q1"), F.col("q3"))[1].alias("upper_iqr_fence")
     )
     above = kept.join(fences, group).where(F.col(value) > F.col("upper_iqr_fence"))
     return above.orderBy(group, F.desc(value), *carried)

@@ -1,4 +1,4 @@
-"""Jobs: clean and write the tables once, then write the report tables from them."""
+"""Jobs: clean and publish the tables once, then write the report tables and chart tables from them."""
 
 from __future__ import annotations
 
@@ -6,19 +6,19 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from venuegrid.operators import quality
-from venuegrid.operators.cleaning import clean, coerce_numeric, snake_case_columns
+from venuegrid.operators.cleaning import clean
 from venuegrid.operators.features import explode_labels
 from venuegrid.operators.ratings import high_votes_low_ratings
+from venuegrid.operators.report import quality_report
 from venuegrid.operators.scoring import label_opportunities
 from venuegrid.operators.statistics import group_comparisons, spearman
-from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA
-from venuegrid.session import discard, settle
-from venuegrid.sources.files import (
-    load_processed, load_raw, path_exists, write_csv, write_json, write_table,
-)
+from venuegrid.plans.charts import chart_lines
+from venuegrid.schema import LISTING_SCHEMA
+from venuegrid.session import scratch, settle
+from venuegrid.sources import files, folders, snapshots
+
+FORMATS = snapshots.FORMATS
 
 
 @dataclass(frozen=True)
@@ -27,100 +27,90 @@ class Tables:
     labels: DataFrame
 
 
-def _paths(out: str) -> tuple[str, str]:
-    return f"{out}/listings", f"{out}/labels"
+def _of(spark: SparkSession, seen: snapshots.Snapshot) -> Tables:
+    return Tables(seen.table(spark, "listings"), seen.table(spark, "labels"))
 
 
 def load_tables(spark: SparkSession, out: str) -> Tables:
-    listings, labels = _paths(out)
-    return Tables(load_processed(spark, listings, LISTING_SCHEMA), load_processed(spark, labels, LABEL_SCHEMA))
-
-
-def write_tables(listings: DataFrame, out: str) -> Tables:
-    """Write the listings, then the label rows read back from them."""
-    listing_path, label_path = _paths(out)
-    write_table(listings.select(*LISTING_SCHEMA.names), listing_path)
-    stored = load_processed(listings.sparkSession, listing_path, LISTING_SCHEMA)
-    write_table(explode_labels(stored), label_path)
-    return load_tables(listings.sparkSession, out)
-
-
-def ensure_materialised(spark: SparkSession, out: str, build: Callable[[], DataFrame]) -> Tables:
-    """Load the two tables, building both first when either is missing."""
-    if not all(path_exists(spark, f"{p}/_SUCCESS") for p in _paths(out)):
-        return write_tables(build(), out)
-    return load_tables(spark, out)
-
-
-def quality_report(raw: DataFrame) -> DataFrame:
-    """The source profile as one row of counts, maps and arrays."""
-    text = snake_case_columns(raw)
-    data = coerce_numeric(text)
-
-    def mapping(lines: DataFrame, key: str, *values: str):
-        held = F.struct(*values) if len(values) > 1 else F.col(values[0])
-        name = F.coalesce(F.col(key).cast("string"), F.lit("nan"))
-        entries = F.sort_array(F.collect_list(F.struct(name.alias("key"), held.alias("value"))))
-        return lines.agg(F.map_from_entries(entries)).scalar()
-
-    fence = ["row_count", "iqr_lower_fence", "iqr_upper_fence", "flagged_rows"]
-    parts = {
-        "exact_duplicate_rows": quality.exact_duplicate_rows(text).scalar(),
-        "missing_by_column": mapping(quality.missing_by_column(text), "column_name", "missing"),
-        "invalid_coordinate_rows": quality.invalid_coordinates(data).select("invalid_coordinate_rows").scalar(),
-        "rating_text_mismatches_for_zero_ratings": quality.zero_rating_text_mismatch(text).scalar(),
-        "country_currency_mappings": mapping(
-            quality.code_currency_map(data.withColumn("country_code", F.col("country_code").try_cast("int"))),
-            "country_code", "currencies",
-        ),
-        "service_flag_values": mapping(quality.flag_domains(text), "column_name", "flag_values"),
-        "currency_counts": mapping(quality.value_counts(text), "currency", "row_count"),
-        "cost_outliers_by_currency": mapping(quality.iqr_fences_by_group(data), "currency", *fence),
-        "numeric_outlier_summary": mapping(quality.iqr_report(data), "measure", *fence),
-    }
-    # A row repeats an id if an earlier one has it; all rows without an id share the missing one.
-    some_missing = F.max(F.col("restaurant_id").isNull().cast("int"))
-    ids = text.agg(
-        F.count("*").alias("rows"), F.count_distinct("restaurant_id").alias("unique_restaurant_ids"),
-        F.coalesce(some_missing, F.lit(0)).alias("_missing"),
-    ).select(
-        "rows", "unique_restaurant_ids",
-        (F.col("rows") - F.col("unique_restaurant_ids") - F.col("_missing")).alias("duplicate_restaurant_ids"),
-    )
-    counts = quality.domain_violations(data)
-    violations = {
-        c: counts.select(c).scalar()
-        for c in ("zero_cost_rows", "negative_cost", "unrated_rows", "invalid_ratings", "invalid_price_ranges", "negative_votes")
-    }
-    names = F.array(*[F.lit(c) for c in text.columns])
-    types = F.create_map(*[F.lit(x) for f in text.schema for x in (f.name, f.dataType.simpleString())])
-    return ids.withColumns(
-        {"columns": F.lit(len(text.columns)), "column_names": names, "dtypes": types} | violations | parts
-    )
-
-
-def clean_and_write(spark: SparkSession, raw_path: str, out: str) -> tuple[Tables, DataFrame]:
-    """Load, profile, clean, explode and write the tables and the quality report."""
-    raw = settle(load_raw(spark, raw_path), "raw")
-    try:
-        tables = write_tables(clean(raw), out)
-        write_json(quality_report(raw), f"{out}/quality_report")
-    finally:
-        discard(raw)
-    return tables, spark.read.json(f"{out}/quality_report")
+    """The two tables of the newest published build."""
+    seen = snapshots.latest(spark, out)
+    if seen is None:
+        raise FileNotFoundError(f"Processed data not found: {out}. Run the cleaning job first.")
+    return _of(spark, seen)
+
+
+def load_quality_report(spark: SparkSession, out: str) -> DataFrame:
+    """The report that was published with the newest tables."""
+    seen = snapshots.latest(spark, out)
+    if seen is None or "quality_report" not in seen.tables:
+        raise FileNotFoundError(f"Quality report not found: {out}. Run the cleaning job first.")
+    return seen.table(spark, "quality_report")
+
+
+def _draft_tables(draft: snapshots.Draft, listings: DataFrame, form: str) -> None:
+    """The listings, then the label rows from what was written."""
+    if form not in FORMATS:
+        raise ValueError(f"Unknown format {form}; known are {FORMATS}")
+    stored = draft.add("listings", listings.select(*LISTING_SCHEMA.names), form)
+    draft.add("labels", explode_labels(stored), form)
+
+
+def write_tables(listings: DataFrame, out: str, form: str = "parquet") -> Tables:
+    """Publish the listings and their label rows as one build."""
+    draft = snapshots.Draft(listings.sparkSession, out)
+    _draft_tables(draft, listings, form)
+    return _of(listings.sparkSession, draft.publish())
+
+
+def ensure_materialised(spark: SparkSession, out: str, build: Callable[[], DataFrame], form: str = "parquet") -> Tables:
+    """Load the two tables of the newest build, building both first when there is none.
+
+    A build that broke between its tables was never published, so it is done again.
+    """
+    seen = snapshots.latest(spark, out)
+    if seen is None:
+        with scratch(spark):
+            return write_tables(build(), out, form)
+    return _of(spark, seen)
+
+
+def clean_and_write(
+    spark: SparkSession, raw_path: str, out: str, form: str = "parquet", multi_line: bool = True, keep: int = 2,
+) -> tuple[Tables, DataFrame]:
+    """Load, profile, clean and explode the source and publish tables and quality report as one build.
+
+    The newest build is returned as it is if it came from the same files, unchanged,
+    in the same form. ``keep`` builds stay, so that readers of the one before can finish.
+    """
+    source = f"{form}:{multi_line}:{folders.stamp(spark, raw_path) if folders.exists(spark, raw_path) else ''}"
+    seen = snapshots.latest(spark, out)
+    if seen is None or seen.source != source:
+        draft = snapshots.Draft(spark, out, source)
+        with scratch(spark):
+            raw = settle(files.load_raw(spark, raw_path, multi_line), "raw")
+            _draft_tables(draft, clean(raw), form)
+            draft.add("quality_report", quality_report(raw).coalesce(1), "json")
+        seen = draft.publish()
+        snapshots.expire(spark, out, keep)
+    return _of(spark, seen), seen.table(spark, "quality_report")
 
 
 def write_report_tables(tables: Tables, out: str) -> dict[str, str]:
     """Correlations, group tests, opportunities, and much-voted low-rated listings."""
     listings, labels = tables.listings, tables.labels
-    small = {
-        "correlation_tests": spearman(listings),
-        "group_comparison_tests": group_comparisons(listings),
-        "cuisine_opportunities": label_opportunities(listings, labels),
-    }
-    paths = {name: f"{out}/{name}" for name in (*small, "high_votes_low_ratings")}
-    for name, lines in small.items():
-        write_csv(lines, paths[name], single_file=True)
-    # This one is a share of the listings, so it keeps its partitions.
-    write_csv(high_votes_low_ratings(listings), paths["high_votes_low_ratings"])
+    paths = {name: f"{out}/{name}" for name in ("correlation_tests", "group_comparison_tests", "cuisine_opportunities", "high_votes_low_ratings")}
+    with scratch(listings.sparkSession):
+        files.write_csv(spearman(listings), paths["correlation_tests"], single_file=True)
+        files.write_csv(group_comparisons(listings), paths["group_comparison_tests"], single_file=True)
+        files.write_csv(label_opportunities(listings, labels), paths["cuisine_opportunities"], single_file=True)
+        # This one is a share of the listings, so it keeps its partitions.
+        files.write_csv(high_votes_low_ratings(listings), paths["high_votes_low_ratings"])
     return paths
+
+
+def write_chart_tables(tables: Tables, out: str, **options) -> str:
+    """All charts' lines in one table, a folder for each chart."""
+    path = f"{out}/charts"
+    with scratch(tables.listings.sparkSession):
+        files.write_table(chart_lines(tables.listings, tables.labels, **options), path, partition_by=["chart"])
+    return path

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from venuegrid.sources import folders
 
 WORK_KEY, CHECKPOINT_KEY = "spark.venuegrid.work.dir", "spark.checkpoint.dir"
 
@@ -48,6 +53,26 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/venuegrid/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete what ``settle`` writes inside the block at its end, also when it fails.
+
+    For jobs that write their results elsewhere. A frame that an operator returns
+    may still read settled tables, so it has to be used up inside the block.
+    """
+    written: list[str] = []
+    token = _scopes.set((*_scopes.get(), written))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in written:
+            folders.delete(spark, path)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -58,10 +83,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = work_path(spark, name)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As ``settle``, with the number of rows, taken while they are written.
+
+    A stage that is done again may be counted again, so the number may choose
+    between two ways to the same result but not be part of one.
+    """
+    seen = Observation()
+    settled = settle(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return settled, seen.get["n"]
+
+
 def discard(df: DataFrame) -> None:
     """Delete the folders in the work folder that ``df`` reads, once nothing needs them."""
     root = f"{work_root(df.sparkSession)}/venuegrid/"
@@ -71,8 +109,7 @@ def discard(df: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    folders.delete(spark, path)
 
 
 def clear_work(spark: SparkSession) -> None:

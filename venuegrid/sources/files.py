@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA, MISSING_TOKENS, RAW_SCHEMA
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Asks the file system that owns the path, so HDFS and object stores work too."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from venuegrid.sources import folders
 
 
 def load_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -24,7 +19,7 @@ def load_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     read. ``multi_line=False`` lets tasks share a file that is known to hold no line
     breaks inside quotes. A byte-order mark is skipped.
     """
-    if not path_exists(spark, path):
+    if not folders.exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
     reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
     header = reader.csv(path).columns
@@ -40,14 +35,14 @@ def load_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 def load_processed(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
     """A table written by ``write_table``; the schema is known, so nothing is inferred."""
-    if not path_exists(spark, path):
+    if not folders.exists(spark, path):
         raise FileNotFoundError(f"Processed data not found: {path}. Run the cleaning job first.")
     return spark.read.schema(schema).parquet(path)
 
 
 def load_processed_csv(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:
     """The CSV form of a processed table, line breaks inside quotes included; an empty field is missing."""
-    if not path_exists(spark, path):
+    if not folders.exists(spark, path):
         raise FileNotFoundError(f"Processed data not found: {path}. Run the cleaning job first.")
     reader = spark.read.schema(schema).option("header", True).option("escape", '"').option("nullValue", "")
     reader = reader.option("multiLine", True)

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.operators import (
-    cleaning, features, geo, labels, market, pricing, quality, ratings, scoring, services, slicing, statistics,
+    cleaning, features, geo, labels, market, pricing, quality, ratings, report, scoring, services, slicing, statistics,
 )
 from venuegrid.plans import publish
 from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA, SERVICE_FLAGS
-from venuegrid.session import settle, work_path
+from venuegrid.session import scratch, settle, work_path
 from venuegrid.sources import files
 from verification import bindings as b
 from verification.oracle import MEAN_DIGITS, OFF_HALF
@@ -26,6 +26,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 PLACE_RADIUS_M = 8_000
+#: what tells the lines of each report table apart
+REPORT_KEYS = {
+    "correlation_tests": ["currency", "variable_x", "variable_y"], "group_comparison_tests": ["variable"],
+    "cuisine_opportunities": ["currency", "cuisine"], "high_votes_low_ratings": ["restaurant_id"],
+}
 FEATURES = [f.name for f in LISTING_SCHEMA][21:]
 
 
@@ -116,27 +121,35 @@ def write_labels(spark, sf):
 @query
 def write_quality_report(spark, sf):
     path = work_path(spark, "quality-report")
-    files.write_json(publish.quality_report(settle(b.raw_listings(spark, sf), "raw")), path)
-    report = spark.read.json(path)
-    return report.select(
-        "rows", "columns", "unique_restaurant_ids", "duplicate_restaurant_ids", "exact_duplicate_rows",
-        "invalid_coordinate_rows", "zero_cost_rows", "negative_cost", "unrated_rows", "invalid_ratings",
-        "invalid_price_ranges", "negative_votes", "rating_text_mismatches_for_zero_ratings",
-        F.col("missing_by_column.cuisines").alias("missing_cuisines"),
-        F.col("cost_outliers_by_currency.BUILDING.row_count").alias("building_rows"),
-        F.col("numeric_outlier_summary.votes.flagged_rows").alias("flagged_votes"),
-    )
+    with scratch(spark):
+        lines = report.quality_report(settle(b.raw_listings(spark, sf), "raw"))
+        files.write_json(lines, path)
+    return spark.read.schema(lines.schema).json(path)
 
 
 @query
 def write_report_tables(spark, sf):
+    """Every cell of the four files; test figures with six digits behind the point, other numbers with nine."""
     paths = publish.write_report_tables(b.listing_tables(spark, sf), work_path(spark, "reports"))
-    sizes = [
-        spark.read.option("header", True).option("escape", '"').csv(p).agg(F.count("*").alias("line_count"))
-        .select(F.lit(name).alias("table_name"), "line_count")
-        for name, p in paths.items()
-    ]
-    return b.union_all(*sizes)
+    read = spark.read.option("header", True).option("escape", '"')
+    return b.union_all(*[_cells_of(read.csv(path), name, REPORT_KEYS[name]) for name, path in paths.items()])
+
+
+def _cells_of(table: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    rows = table.select(F.concat_ws("|", *keys).alias("line"), *[F.col(c) for c in table.columns if c not in keys])
+    cells = rows.unpivot(["line"], rows.columns[1:], "column_name", "value").where("value is not null")
+    number = F.col("value").try_cast("double")
+    shown = F.when(F.col("column_name").isin("statistic", "p_value"), F.round(number, 6)).otherwise(F.round(number, 9))
+    return cells.select(
+        F.lit(name).alias("table_name"), "line", "column_name", shown.alias("number"), F.when(number.isNull(), F.col("value")).alias("content"),
+    )
+
+
+@query
+def write_chart_tables(spark, sf):
+    path = publish.write_chart_tables(b.listing_tables(spark, sf), work_path(spark, "charts"), city_least=607)
+    digits = F.when(F.col("chart") == "cost_by_city_currency", F.round("y", 5)).otherwise(F.round("y", 9))  # sums of doubles differ in the last ones
+    return spark.read.parquet(path).select("chart", "label", "series", F.round("x", 9).alias("x"), digits.alias("y"), "z", "restaurants")
 
 
 @query
@@ -209,14 +222,14 @@ def clean(spark, sf):
 
 @query
 def clean_and_write(spark, sf):
-    tables, report = publish.clean_and_write(spark, _raw_csv(spark, sf), work_path(spark, "published"))
+    tables, lines = publish.clean_and_write(spark, _raw_csv(spark, sf), work_path(spark, "published"))
     counted = tables.listings.agg(
         F.count("*").alias("listing_rows"), F.sum("cuisine_count").alias("label_tokens"),
         F.count("aggregate_rating").alias("ratings"),
     )
     return counted.withColumns({
         "label_rows": tables.labels.agg(F.count("*")).scalar(),
-        "reported_rows": report.select("rows").scalar(),
+        "reported_rows": lines.where("subject = 'rows' and section = 'counter'").select("amount").scalar(),
     })
 
 

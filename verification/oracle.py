@@ -362,7 +362,122 @@ FROM listings GROUP BY city, currency"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql if name == "write_report_tables" else _compared(sql) for name, sql in _answers().items()}
+    return {name: sql if name in ("write_report_tables", "write_quality_report", "write_chart_tables") else _compared(sql) for name, sql in _answers().items()}
+
+
+def _report_line(source: str, section: str, subject: str, measure: str, **held: str) -> str:
+    kinds = {"amount": "BIGINT", "number": "DOUBLE", "content": "VARCHAR"}
+    values = ", ".join(f"CAST({held.get(c, 'NULL')} AS {t}) AS {c}" for c, t in kinds.items())
+    return f"SELECT '{section}' AS section, CAST({subject} AS VARCHAR) AS subject, '{measure}' AS measure, {values} FROM {source}"
+
+
+def _quality_report() -> str:
+    bad = """COALESCE(longitude NOT BETWEEN -180 AND 180, true) OR COALESCE(latitude NOT BETWEEN -90 AND 90, true)
+             OR COALESCE(longitude = 0 AND latitude = 0, false)"""
+    counters = {
+        "rows": "true", "invalid_coordinate_rows": bad, "zero_cost_rows": "average_cost_for_two = 0", "negative_cost": "average_cost_for_two < 0",
+        "unrated_rows": "aggregate_rating = 0", "invalid_ratings": "COALESCE(aggregate_rating NOT BETWEEN 0 AND 5, true)",
+        "invalid_price_ranges": "COALESCE(price_range NOT IN (1, 2, 3, 4), true)", "negative_votes": "votes < 0",
+        "rating_text_mismatches_for_zero_ratings": "COALESCE(aggregate_rating = 0, false) <> COALESCE(rating_text = 'Not rated', false)",
+    }
+    lines = [_report_line("nums", "counter", f"'{c}'", "count", amount=f"COUNT(*) FILTER (WHERE {w})") for c, w in counters.items()]
+    lines += [
+        _report_line("(SELECT 1)", "counter", "'columns'", "count", amount="21"),
+        _report_line("raw", "counter", "'exact_duplicate_rows'", "count", amount="COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw))"),
+        _report_line("raw", "counter", "'unique_restaurant_ids'", "count", amount="COUNT(DISTINCT restaurant_id)"),
+        _report_line("raw", "counter", "'duplicate_restaurant_ids'", "count", amount="COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT restaurant_id FROM raw))"),
+    ]
+    for k, c in enumerate(_TEXT, 1):
+        lines += [
+            _report_line("(SELECT 1)", "column", f"'{c}'", "position", amount=str(k)), _report_line("(SELECT 1)", "column", f"'{c}'", "dtype", content="'string'"),
+            _report_line("raw", "column", f"'{c}'", "missing", amount=f"COUNT(*) FILTER (WHERE {c} IS NULL)"),
+        ]
+    lines.append(_report_line("raw GROUP BY currency", "currency", "currency", "rows", amount="COUNT(*)"))
+    pairs = "(SELECT DISTINCT CAST(country_code AS INTEGER) AS code, currency FROM nums WHERE country_code IS NOT NULL AND currency IS NOT NULL)"
+    lines.append(_report_line(pairs, "country_currency", "code", "value", content="currency"))
+    lines += [_report_line(f"(SELECT DISTINCT {c} AS v FROM raw WHERE {c} IS NOT NULL)", "flag", f"'{c}'", "value", content="v") for c in _FLAGS]
+    costs = "(SELECT currency, quantile_cont(c, 0.25) AS q1, quantile_cont(c, 0.75) AS q3 FROM (SELECT currency, CASE WHEN average_cost_for_two > 0 THEN average_cost_for_two END AS c FROM nums) GROUP BY currency)"
+    rated = "(SELECT quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.75) AS q3 FROM (SELECT aggregate_rating AS r FROM nums WHERE aggregate_rating > 0))"
+    votes = "(SELECT quantile_cont(votes, 0.25) AS q1, quantile_cont(votes, 0.75) AS q3 FROM nums WHERE votes IS NOT NULL)"
+    low, high = "q1 - 1.5 * (q3 - q1)", "q3 + 1.5 * (q3 - q1)"
+    judged = f"{costs} AS f LEFT JOIN (SELECT * FROM nums WHERE average_cost_for_two > 0) AS n ON n.currency IS NOT DISTINCT FROM f.currency GROUP BY f.currency"
+    for section, subject, fences, rows, flagged in (
+        ("cost_fence", "currency", costs, (judged, "f.currency", "COUNT(average_cost_for_two)"), (judged, f"COUNT(*) FILTER (WHERE average_cost_for_two > {high})")),
+        ("numeric_fence", "'aggregate_rating_rated_only'", rated, ("nums", "'aggregate_rating_rated_only'", "COUNT(*) FILTER (WHERE aggregate_rating > 0)"),
+         (f"nums, {rated}", f"COUNT(*) FILTER (WHERE aggregate_rating > 0 AND (aggregate_rating < {low} OR aggregate_rating > {high}))")),
+        ("numeric_fence", "'votes'", votes, ("nums", "'votes'", "COUNT(votes)"), (f"nums, {votes}", f"COUNT(*) FILTER (WHERE votes < {low} OR votes > {high})")),
+    ):
+        lines += [
+            _report_line(fences, section, subject, "iqr_lower_fence", number=low), _report_line(fences, section, subject, "iqr_upper_fence", number=high),
+            _report_line(rows[0], section, rows[1], "rows", amount=rows[2]), _report_line(flagged[0], section, rows[1], "flagged_rows", amount=flagged[1]),
+        ]
+    return "\nUNION ALL ".join(lines)
+
+
+def _report_tables() -> str:
+    opportunities = _opportunities("listings", "labels", 5)
+    low_rated = """SELECT restaurant_id, restaurant_name, city, aggregate_rating, votes
+FROM listings CROSS JOIN (SELECT quantile_cont(votes, 0.75) AS hi, quantile_cont(aggregate_rating, 0.25) AS lo FROM listings WHERE is_rated)
+WHERE is_rated AND votes >= hi AND aggregate_rating <= lo"""
+    tables = {
+        "correlation_tests": (SPEARMAN, ["currency", "variable_x", "variable_y"], ["n", "statistic", "p_value"], ["test"]),
+        "group_comparison_tests": (f"({WELCH_TEST}) UNION ALL BY NAME ({KRUSKAL_TEST})", ["variable"], ["n_yes", "n_no", "mean_yes", "mean_no", "statistic", "p_value"], ["test"]),
+        "cuisine_opportunities": (opportunities, ["currency", "cuisine"], ["restaurant_count", "average_rating", "total_votes", "market_rating", "rating_gap", "presence_percentile", "opportunity_score"], []),
+        "high_votes_low_ratings": (low_rated, ["restaurant_id"], ["aggregate_rating", "votes"], ["restaurant_name", "city"]),
+    }
+    cells = []
+    for name, (body, keys, numbers, texts) in tables.items():
+        line = f"concat_ws('|', {', '.join(keys)})"
+        for c in (*numbers, *texts):
+            number, content = (f"ROUND({c}::DOUBLE, {6 if c in ('statistic', 'p_value') else 9})", "NULL::VARCHAR") if c in numbers else ("NULL::DOUBLE", c)
+            cells.append(f"SELECT '{name}' AS table_name, {line} AS line, '{c}' AS column_name, {number} AS number, {content} AS content FROM ({body}) WHERE {c} IS NOT NULL")
+    return "\nUNION ALL ".join(cells)
+
+
+def _charts() -> str:
+    def line(chart: str, source: str, **held: str) -> str:
+        kinds = {"label": "VARCHAR", "series": "VARCHAR", "x": "DOUBLE", "y": "DOUBLE", "z": "DOUBLE", "restaurants": "BIGINT"}
+        digits = 5 if chart == "cost_by_city_currency" else 9
+        shown = [f"ROUND(CAST({held.get(c, 'NULL')} AS {t}), {digits}) AS {c}" if t == "DOUBLE" else f"CAST({held.get(c, 'NULL')} AS {t}) AS {c}" for c, t in kinds.items()]
+        return f"SELECT '{chart}' AS chart, {', '.join(shown)} FROM {source}"
+
+    def bars(chart: str, column: str, names: list[str]) -> str:
+        values = ", ".join(f"('{n}')" for n in names)
+        return line(chart, f"(VALUES {values}) AS v(name) LEFT JOIN listings ON CAST({column} AS VARCHAR) = name GROUP BY name", label="name", restaurants=f"COUNT({column})")
+
+    cities = "(SELECT city, COUNT(*) AS n FROM listings WHERE city IS NOT NULL GROUP BY city ORDER BY n DESC, city LIMIT {})"
+    best = "(SELECT {0}, AVG(aggregate_rating) AS y, COUNT(DISTINCT restaurant_id) AS n FROM {1} WHERE {2} AND {0} IS NOT NULL GROUP BY {0} HAVING n >= {3} ORDER BY y DESC, {0} LIMIT 15)"
+    costs = "SELECT city, currency, AVG(average_cost_for_two) AS y, COUNT(DISTINCT restaurant_id) AS n FROM listings WHERE average_cost_for_two > 0 AND city IS NOT NULL AND currency IS NOT NULL GROUP BY ALL HAVING n >= 10"
+    share = """(SELECT price_range, aggregate_rating, is_rated, (RANK() OVER (PARTITION BY currency ORDER BY average_cost_for_two)
+        + (COUNT(*) OVER (PARTITION BY currency, average_cost_for_two) - 1) / 2.0::DOUBLE) / COUNT(*) OVER (PARTITION BY currency) AS x
+        FROM listings WHERE average_cost_for_two > 0 AND currency IS NOT NULL)"""
+    boxed = "(SELECT CASE has_online_delivery WHEN 'Yes' THEN 'Online delivery' ELSE 'No online delivery' END AS s, aggregate_rating AS r FROM listings WHERE is_rated AND has_online_delivery IN ('Yes', 'No'))"
+    box = f"(SELECT s AS t, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.75) AS q3 FROM {boxed} GROUP BY s)"
+    inside = "r BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+    leading = "(SELECT cuisine FROM labels GROUP BY cuisine ORDER BY COUNT(*) DESC, cuisine LIMIT 12)"
+    lines = [
+        line("restaurants_by_city", cities.format(15), label="city", restaurants="n"),
+        line("restaurants_by_country", "listings WHERE country_code IS NOT NULL GROUP BY country_code", label="country_code", restaurants="COUNT(*)"),
+        bars("price_range_distribution", "price_range", ["1", "2", "3", "4"]),
+        bars("rating_distribution", "rating_category", ["Not rated", "Low", "Fair", "Good", "Very good", "Excellent"]),
+        bars("online_delivery_adoption", "has_online_delivery", ["Yes", "No"]), bars("table_booking_adoption", "has_table_booking", ["Yes", "No"]),
+        line("average_rating_by_city", best.format("city", "listings", "is_rated", 607), label="city", y="y", restaurants="n"),
+        line("average_rating_by_cuisine", best.format("cuisine", "labels", "aggregate_rating > 0", 50), label="cuisine", y="y", restaurants="n"),
+        line("top_cuisines", "(SELECT cuisine, COUNT(DISTINCT restaurant_id) AS n FROM labels GROUP BY cuisine ORDER BY n DESC, cuisine LIMIT 15)", label="cuisine", restaurants="n"),
+        line("cost_by_city_currency", f"({costs}) WHERE currency IN (SELECT currency FROM ({costs}) GROUP BY currency ORDER BY SUM(n) DESC, currency LIMIT 6)", label="city", series="currency", y="y", restaurants="n"),
+        line("votes_vs_rating", "listings WHERE is_rated GROUP BY votes, aggregate_rating", x="votes", y="aggregate_rating", restaurants="COUNT(*)"),
+        line("geographic_distribution", "listings WHERE longitude IS NOT NULL AND latitude IS NOT NULL GROUP BY longitude, latitude, aggregate_rating", x="longitude", y="latitude", z="aggregate_rating", restaurants="COUNT(*)"),
+        line("relative_cost_vs_rating", f"{share} WHERE is_rated GROUP BY price_range, x, aggregate_rating", series="price_range", x="x", y="aggregate_rating", restaurants="COUNT(*)"),
+        line("cuisine_by_city_heatmap", f"labels WHERE cuisine IN {leading} AND city IN (SELECT city FROM {cities.format(12)}) GROUP BY city, cuisine", label="city", series="cuisine", restaurants="COUNT(DISTINCT restaurant_id)"),
+    ]
+    for c in ("q1", "median", "q3"):
+        lines.append(line("rating_by_digital_services", box, label="t", series=f"'{c}'", y=c))
+    joined = f"{boxed} JOIN {box} ON s = t GROUP BY s"
+    for c, value in (("whisker_low", "MIN"), ("whisker_high", "MAX")):
+        lines.append(line("rating_by_digital_services", joined, label="s", series=f"'{c}'", y=f"{value}(r) FILTER (WHERE {inside})"))
+    lines.append(line("rating_by_digital_services", joined, label="s", series="'rated'", restaurants="COUNT(*)"))
+    lines.append(line("rating_by_digital_services", joined, label="s", series="'outliers'", restaurants=f"COUNT(*) FILTER (WHERE NOT ({inside}))"))
+    return "\nUNION ALL ".join(lines)
 
 
 def _answers() -> dict[str, str]:
@@ -377,31 +492,9 @@ def _answers() -> dict[str, str]:
         "load_processed": _sql(L, f"SELECT {every} FROM listings"),
         "write_clean": _sql(clean_features, f"SELECT {every} FROM listings"),
         "write_labels": _sql([*clean_features, LABELS], "SELECT * FROM labels"),
-        "write_quality_report": _sql([*R, NUMERIC], f"""
-SELECT COUNT(*) AS rows, 21::BIGINT AS columns, COUNT(DISTINCT restaurant_id) AS unique_restaurant_ids,
-       COUNT(*) - COUNT(DISTINCT restaurant_id) AS duplicate_restaurant_ids,
-       COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw)) AS exact_duplicate_rows,
-       COUNT(*) FILTER (WHERE COALESCE(longitude NOT BETWEEN -180 AND 180, true) OR COALESCE(latitude NOT BETWEEN -90 AND 90, true)
-                        OR (longitude = 0 AND latitude = 0)) AS invalid_coordinate_rows,
-       COUNT(*) FILTER (WHERE average_cost_for_two = 0) AS zero_cost_rows,
-       COUNT(*) FILTER (WHERE average_cost_for_two < 0) AS negative_cost,
-       COUNT(*) FILTER (WHERE aggregate_rating = 0) AS unrated_rows,
-       COUNT(*) FILTER (WHERE COALESCE(aggregate_rating NOT BETWEEN 0 AND 5, true)) AS invalid_ratings,
-       COUNT(*) FILTER (WHERE COALESCE(price_range NOT IN (1, 2, 3, 4), true)) AS invalid_price_ranges,
-       COUNT(*) FILTER (WHERE votes < 0) AS negative_votes,
-       COUNT(*) FILTER (WHERE COALESCE(aggregate_rating = 0, false) <> (rating_text = 'Not rated')) AS rating_text_mismatches_for_zero_ratings,
-       COUNT(*) FILTER (WHERE cuisines IS NULL) AS missing_cuisines,
-       COUNT(*) FILTER (WHERE currency = 'BUILDING' AND average_cost_for_two > 0) AS building_rows,
-       (SELECT COUNT(*) FROM nums, (SELECT quantile_cont(votes, 0.25) AS q1, quantile_cont(votes, 0.75) AS q3 FROM nums)
-        WHERE votes > {_fence("q")} OR votes < q1 - 1.5 * (q3 - q1)) AS flagged_votes
-FROM nums"""),
-        "write_report_tables": _sql([*LL], f"""
-SELECT 'correlation_tests' AS table_name, 1 + 2 * COUNT(DISTINCT currency) AS line_count FROM listings
-UNION ALL SELECT 'group_comparison_tests', 3
-UNION ALL SELECT 'cuisine_opportunities', COUNT(*) FROM ({_opportunities("listings", "labels", 5)})
-UNION ALL SELECT 'high_votes_low_ratings', COUNT(*) FROM listings
-WHERE is_rated AND votes >= (SELECT quantile_cont(votes, 0.75) FROM listings WHERE is_rated)
-  AND aggregate_rating <= (SELECT quantile_cont(aggregate_rating, 0.25) FROM listings WHERE is_rated)"""),
+        "write_quality_report": _sql([*R, NUMERIC], _quality_report()),
+        "write_report_tables": _sql([*LL, RANKED_PAIRS, *KRUSKAL_TABLES], _report_tables()),
+        "write_chart_tables": _sql(LL, _charts()),
         "register_views": _sql(LL, """
 SELECT r.currency, COUNT(DISTINCT r.restaurant_id) AS restaurants, COUNT(*) AS cuisine_rows
 FROM labels JOIN listings AS r USING (restaurant_id) GROUP BY r.currency"""),
