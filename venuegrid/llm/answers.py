@@ -24,11 +24,8 @@ _ANSWERS = {
             SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM raw WHERE len(regexp_extract_all(l, '{_SPACED}')) > 0 GROUP BY doc_id
         ), held AS (
             SELECT doc_id, source, {_NORMAL} AS line, sum(len(regexp_extract_all(l, '{_SPACED}'))) AS words FROM raw GROUP BY ALL
-        ), hosts AS (
-            SELECT source, count(*) AS documents FROM d GROUP BY source
         ), common AS (
-            SELECT source, line FROM held JOIN hosts USING (source) WHERE line <> ''
-            GROUP BY source, line, documents HAVING count(*) > 20 AND count(*) > documents * 0.02
+            SELECT source, line FROM held WHERE line <> '' GROUP BY source, line HAVING count(*) > 20
         ), gone AS (
             SELECT doc_id, sum(words)::BIGINT AS n FROM held JOIN common USING (source, line) GROUP BY doc_id
         ), b AS (

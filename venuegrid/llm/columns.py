@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space that parts words, and Java's and RE2's way to write it.
@@ -38,3 +38,13 @@ def lines(text: Column) -> Column:
 
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as the one column ``given``, whose fields' names meet no others."""
+    return F.struct(*[df[f"`{n}`"] for n in df.columns]).alias("given")
+
+
+def unpacked(df: DataFrame, made: Column, names: list[str], into: str) -> DataFrame:
+    """The fields of ``given`` under their names, and ``made`` as ``into``."""
+    return df.select("given", made.alias("made")).select(*[F.col("given").getField(n).alias(n) for n in names], F.col("made").alias(into))

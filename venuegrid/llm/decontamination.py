@@ -240,6 +240,8 @@ def with_matches(
         depth = int(queries.left.max(initial=1))
         shared = docs.sparkSession.sparkContext.broadcast((queries, depth))
         name = into if k == 0 else f"{into}_{k}"
+        while k and name.lower() in {c.lower() for c in docs.columns}:
+            name += "_"
         docs = annotated(docs, text, name, RESULT, partial(_start, shared))
         if k:
             docs = docs.withColumn(into, _merged(into, name)).drop(name)

@@ -55,7 +55,11 @@ def _windows(words: Column, least: int) -> Column:
         F.when(w >= least, F.lit(1)).otherwise(size(F.reverse(F.slice(words, first(i), i + 2 - first(i))))),
         lambda n: F.struct((i - n + 1).alias("at"), n.alias("size")),
     ))
-    return F.array_distinct(F.filter(F.concat(after, before), lambda x: x["size"] > 0))
+    # one number for each run, as distinct numbers are found by hashing and distinct structs by comparing all pairs
+    found = F.transform(F.filter(F.concat(after, before), lambda x: x["size"] > 0), lambda x: x["at"].cast("long") * (least + 1) + x["size"])
+    return F.transform(F.array_distinct(found), lambda v: F.struct(
+        F.floor(v / F.lit(least + 1)).cast("int").alias("at"), (v % (least + 1)).cast("int").alias("size"),
+    ))
 
 
 def _log2(size: int) -> int:
@@ -113,7 +117,7 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A missing or empty text has no lines and stays as it is. Rows equal in doc_id
     and text are one document and get one result each. A column named ``into`` is
-    replaced. An empty table gives an empty result.
+    replaced; others may have any name. Texts may have any number of lines. An empty table gives an empty result.
     """
     plain = docs.select(*[docs[f"`{n}`"] for n in docs.columns if n.lower() != into.lower()])
     body = plain[f"`{text}`"].cast("string")
@@ -122,19 +126,22 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     with Scratch(docs.sparkSession) as scratch:
         gone = scratch.keep(deletions(scratch, given, min_words), "deletions")
     # hashing the small side keeps the texts unsorted; the plan is the same at every size
-    gone = gone.select(F.col("row").alias("__key"), F.col("lines").alias("__gone")).hint("shuffle_hash")
-    joined = plain.withColumn("__row", row).join(gone, F.col("__row") == F.col("__key"), "left")
+    gone = gone.select(F.col("row").alias("key"), F.col("lines").alias("gone")).hint("shuffle_hash")
+    # the given columns travel as one, so that their names meet no others
+    held = plain.select(row.alias("row"), c.packed(plain))
+    joined = held.join(gone, F.col("row") == F.col("key"), "left")
+    body = F.col("given").getField(text).cast("string")
 
     def left(ls: Column) -> Column:
         worded = F.filter(F.transform(ls, lambda line, i: F.when(c.visible(line) != "", i)), lambda i: i.isNotNull())
         return c.let(worded, lambda at: F.array_join(F.transform(
-            F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform(F.col("__gone"), lambda n: F.get(at, n))), lambda i: F.get(ls, i),
+            F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform(F.col("gone"), lambda n: F.get(at, n))), lambda i: F.get(ls, i),
         ), "\n"))
 
     n_lines = F.size(F.filter(c.lines(F.coalesce(body, F.lit(""))), lambda line: c.visible(line) != "")).cast("long")
-    n_gone = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    rest = F.when(F.col("__gone").isNull(), body).otherwise(c.let(c.lines(body), left))
-    return joined.select(*[plain[f"`{n}`"] for n in plain.columns], F.struct(n_lines.alias("n_lines"), n_gone.alias("n_deleted"), rest.alias("text")).alias(into))
+    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    rest = F.when(F.col("gone").isNull(), body).otherwise(c.let(c.lines(body), left))
+    return c.unpacked(joined, F.struct(n_lines.alias("n_lines"), n_gone.alias("n_deleted"), rest.alias("text")), plain.columns, into)
 
 
 def without_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

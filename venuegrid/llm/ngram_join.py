@@ -218,9 +218,11 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """The candidate pairs that are links; each is verified once."""
+def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, tried: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, candidates): the pairs that were verified on whole texts, and those of them that are links; pairs ``tried`` before are left out."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
     parts = nodes.select("node", "n", "parts")
     # suffix filter: sets whose parts by code differ much in size cannot share enough
     pairs = pairs.hint("merge").join(parts.toDF("a", "n_a", "parts_a"), "a").hint("merge").join(parts.toDF("b", "n_b", "parts_b"), "b")
@@ -231,7 +233,7 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
     rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(partial(_wanted, bloom=bloom, width=width), "key long, node long, text string")
     texts = scratch.settle(rows.join(wanted.hint("shuffle_hash"), ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
     sides = pairs.hint("merge").join(texts.toDF("a", "text_a"), "a").hint("merge").join(texts.toDF("b", "text_b"), "b")
-    return scratch.settle(sides.mapInArrow(partial(_verify, width=width), "a long, b long"), "verified")
+    return scratch.settle(sides.mapInArrow(partial(_verify, width=width), "a long, b long"), "verified"), pairs
 
 
 def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +268,6 @@ def similar_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
 def _components(scratch: Scratch, docs: DataFrame, kind: str, width: int, hot: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     counts = frequencies(docs, width)
-    hot = max(hot, 4 * int(counts.mean()))
     shared = context.broadcast(counts)
     signed = docs.mapInArrow(partial(_sign, counts=shared, width=width), f"doc_id {kind}, n long, node long, prefix binary, parts binary")
     signed = scratch.settle(signed, "signatures")
@@ -281,10 +282,10 @@ def _components(scratch: Scratch, docs: DataFrame, kind: str, width: int, hot: i
 
     repeated = known.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     same = known.join(repeated.select("doc_id", "a"), "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    first = _links(scratch, docs, nodes, _pivot_pairs(postings), width).unionByName(same)
-    first = scratch.settle(first, "links")
+    linked, tried = _links(scratch, docs, nodes, _pivot_pairs(postings), width)
+    first = scratch.settle(linked.unionByName(same), "links")
     names = connected_components(first)
-    second = _links(scratch, docs, nodes, _open_pairs(scratch, postings, names), width)
+    second, _ = _links(scratch, docs, nodes, _open_pairs(scratch, postings, names), width, tried)
     names = connected_components(first.unionByName(second))
 
     rep = nodes.select("node", "rep").join(names, "node").groupBy("component").agg(F.min("rep").alias("least"))

@@ -11,7 +11,7 @@ from venuegrid.llm.scratch import Scratch
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, REPEAT_PERCENT = 20, 30
-MIN_DOCUMENTS, HOST_SHARE = 20, 0.02
+MIN_DOCUMENTS = 20
 DEPLETED_PERCENT = 50
 
 
@@ -62,18 +62,19 @@ def base_counts(text: Column) -> list[Column]:
 
 def judged(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", into: str = "quality",
-    min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, depleted_percent: int = DEPLETED_PERCENT,
+    min_documents: int = MIN_DOCUMENTS, depleted_percent: int = DEPLETED_PERCENT,
 ) -> DataFrame:
     """Every row of ``docs`` with the struct ``into``: counts, verdict, and the codes of lines to remove.
 
     A normalised line is removed where more than ``min_documents`` documents of
-    its host, and more than ``host_share`` of them, hold it. A text that loses
+    its host hold it, however many documents the host has. A text that loses
     more than ``depleted_percent`` of its words, or fails the basic rules, is not kept.
     ``cleaned`` turns the codes into the text that is left.
 
     A missing text is empty, has no lines and fails the basic rules. Rows equal in
     doc_id, host and text are one document and get one result each. A missing host
-    is a host of its own; a column named ``into`` is replaced; empty tables stay empty.
+    is a host of its own; a column named ``into`` is replaced, others may have any name; texts may
+    be of any length; empty tables stay empty.
     """
     plain = docs.select(*[docs[f"`{n}`"] for n in docs.columns if n.lower() != into.lower()])
     body, where = F.coalesce(plain[f"`{text}`"].cast("string"), F.lit("")), plain[f"`{host}`"].cast("string")
@@ -85,24 +86,23 @@ def judged(
         held = scratch.settle(held, "lines")
         given = plain.select(row.alias("row"), F.coalesce(F.xxhash64(where), F.lit(0)).alias("host")).groupBy("row", "host").agg(F.count("*").alias("copies"))
         given = scratch.settle(given, "given")
-        documents = given.groupBy("host").agg(F.count("*").alias("documents"))
         counts = held.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
-        counts = counts.join(documents, "host").where(F.col("n") > F.col("documents") * host_share)
         common = scratch.settle(counts.select("host", "line"), "common")
         gone = held.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("__gone"), F.collect_list("line").alias("__codes"))
         copies = given.where("copies > 1").select("row", "copies")  # each copy has added the same words
         gone = gone.join(copies, "row", "left").withColumn("__gone", F.expr("__gone div coalesce(copies, 1)")).drop("copies")
         gone = scratch.keep(gone, "removed")
-    counted = plain.select("*", row.alias("__row"), *base_counts(plain[f"`{text}`"].cast("string")))
-    joined = counted.join(gone, counted["__row"] == gone["row"], "left")
+    # the given columns travel as one, so that their names meet no others
+    counted = plain.select(row.alias("key"), c.packed(plain), *base_counts(plain[f"`{text}`"].cast("string")))
+    joined = counted.join(gone, F.col("key") == F.col("row"), "left")
     n_words, repeat = F.col("__counts.n"), F.col("__counts.r")
     failed = (n_words < MIN_WORDS) | (100 * repeat > REPEAT_PERCENT * n_words)
     removed = F.coalesce("__gone", F.lit(0).cast("long"))
-    return joined.select(*[plain[f"`{n}`"] for n in plain.columns], F.struct(
+    return c.unpacked(joined, F.struct(
         n_words.alias("n_words"), F.col("word_chars"), F.col("n_symbols"), F.col("n_dup_lines"), repeat.alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & (100 * removed <= depleted_percent * n_words)).alias("kept"),
         removed.alias("removed_words"), F.coalesce("__codes", F.array().cast("array<bigint>")).alias("removed_lines"),
-    ).alias(into))
+    ), plain.columns, into)
 
 
 def cleaned(text: str = "text", into: str = "quality") -> Column:

@@ -95,6 +95,11 @@ def calibrated(lines: list[tuple[int, str, int]]) -> int:
     return max(options, key=hits)
 
 
+def _clipped(score_bin: str) -> Column:
+    """Scores beyond 20 in size count as 20, where the threshold is set and where it is used."""
+    return F.greatest(F.lit(-20 * BINS), F.least(F.lit(20 * BINS), score_bin))
+
+
 def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, url: str = "url", into: str = "verdict") -> DataFrame:
     """Every row of ``pages`` with the struct ``into``: host, path, rule, verdict, score_bin (null where a rule decides).
 
@@ -103,11 +108,13 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, url: s
     or one without ``://`` has an empty host and path, fits no rule and is judged as
     an empty text. Equal URLs get equal verdicts; each distinct host and path counts
     once in training. Without ruled URLs of both classes the threshold is 0, and a
-    model without URLs is uniform. A column named ``into`` is replaced.
+    model without URLs is uniform. A column named ``into`` is replaced; others may
+    have any name. URLs may be of any length.
     """
     plain = pages.select(*[pages[f"`{n}`"] for n in pages.columns if n.lower() != into.lower()])
     host, path = host_and_path(plain[f"`{url}`"].cast("string"))
-    parts = plain.select("*", host.alias("__host"), path.alias("__path"))
+    # the given columns travel as one, so that their names meet no others
+    parts = plain.select(c.packed(plain), host.alias("__host"), path.alias("__path"))
     parts = parts.withColumn("__rule", longest_rule(F.col("__host"), F.col("__path"), rules))
     verdict = reduce(lambda other, k: F.when(F.col("__rule") == k, rules[k][0]).otherwise(other), range(len(rules)), F.lit(None).cast("string"))
     parts = parts.withColumn("__verdict", verdict).withColumn("__body", F.concat("__host", "__path")).withColumn("__key", F.xxhash64("__body"))
@@ -122,14 +129,14 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, *, url: s
         counts = scratch.settle(counts, "counts")
         scores = scratch.keep(_scores(scratch, bodies.where("verdict is null or held_out"), counts), "scores")
         tuning = scores.join(bodies.where("verdict is not null").select("key", "verdict"), "key").groupBy("bin", "verdict").count()
-        clipped = tuning.groupBy(F.greatest(F.lit(-20 * BINS), F.least(F.lit(20 * BINS), "bin")).alias("bin"), "verdict").agg(F.sum("count").alias("n"))
+        clipped = tuning.groupBy(_clipped("bin").alias("bin"), "verdict").agg(F.sum("count").alias("n"))
         tuned = clipped.collect()  # bins of a fixed range
     threshold = calibrated([(r.bin, r.verdict, r.n) for r in tuned])
 
     open_ = scores.select(F.col("key").alias("__k"), F.col("bin").alias("__bin"))
     joined = parts.join(open_, (parts["__key"] == open_["__k"]) & parts["__verdict"].isNull(), "left")
-    own = F.when(F.col("__bin") >= threshold, "block").otherwise("allow")
+    own = F.when(_clipped("__bin") >= threshold, "block").otherwise("allow")
     rule = reduce(lambda other, k: F.when(F.col("__rule") == k, rules[k][1]).otherwise(other), range(len(rules)), F.lit(None).cast("string"))
-    return joined.select(*[plain[f"`{n}`"] for n in plain.columns], F.struct(
+    return c.unpacked(joined, F.struct(
         F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce("__verdict", own).alias("verdict"), F.col("__bin").alias("score_bin"),
-    ).alias(into))
+    ), plain.columns, into)
