@@ -27,7 +27,7 @@ WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 BLOCK_BYTES = 1 << 20
-PIECE_BYTES_KEPT, PAIRS_KEPT = 16 << 20, 200_000  # until the task ends; bytes as estimated by ``_held``
+PIECE_BYTES_KEPT, PAIRS_KEPT = 40 << 20, 500_000  # until the task ends; bytes as estimated by ``_held``
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 RESULT = T.StructType([
