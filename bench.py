@@ -29,7 +29,7 @@ HEADLINE = [
     "top3_labels_per_city", "label_currency_join", "city_label_pivot", "service_comparison",
     "iqr_fences_by_group", "cost_outliers", "describe_percentiles", "column_profile", "exact_duplicate_rows",
     "cost_percentile", "cost_category", "clean", "spearman", "welch_t", "kruskal",
-    "label_opportunities", "label_opportunities_sql", "spatial_clusters", "slice_listings", "option_lists",
+    "label_opportunities", "label_opportunities_sql", "spatial_clusters", "slice_listings", "option_lists", "write_quality_report", "write_chart_tables",
 ]
 
 

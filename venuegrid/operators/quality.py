@@ -196,10 +196,10 @@ def cost_outliers(
 ) -> DataFrame:
     """Rows above the upper fence of their group, with the quartiles and the fence."""
     kept = df.where((F.col(value) > 0) & F.col(group).isNotNull()).select(*carried, group, value)
-    fences = quantiles(kept, [group], value, {"q1": 0.25, "q3": 0.75}, leaf_rows).select(
+    fenced = quantiles(kept, [group], value, {"q1": 0.25, "q3": 0.75}, leaf_rows).select(
         group, "q1", "q3", fences(F.col("q1"), F.col("q3"))[1].alias("upper_iqr_fence")
     )
-    above = kept.join(fences, group).where(F.col(value) > F.col("upper_iqr_fence"))
+    above = kept.join(fenced, group).where(F.col(value) > F.col("upper_iqr_fence"))
     return above.orderBy(group, F.desc(value), *carried)
 
 
