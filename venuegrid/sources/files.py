@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA, MISSING_TOKENS, RAW_SCHEMA
 from venuegrid.sources import folders
+from venuegrid.sources.records import parsed, records
 
 
 def load_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -22,15 +23,35 @@ def load_raw(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
     if not folders.exists(spark, path):
         raise FileNotFoundError(f"Dataset not found: {path}")
     reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
-    header = reader.csv(path).columns
-    known = RAW_SCHEMA.names
-    missing = [c for c in known if c not in header]
+    header = _header(reader.csv(path).columns, path)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    return _known_first(reader.options(enforceSchema=False, mode="FAILFAST").schema(text).csv(path))
+
+
+def load_raw_shared(spark: SparkSession, path: str) -> DataFrame:
+    """As ``load_raw`` with line breaks inside quotes, but the tasks share large files.
+
+    The text is written once to the work folder, by block. Files are UTF-8, and a
+    quote that is not doubled stands only at the ends of a field; a file that ends
+    inside quotes raises. ``load_raw`` reads each file in one task instead.
+    """
+    if not folders.exists(spark, path):
+        raise FileNotFoundError(f"Dataset not found: {path}")
+    header = _header(spark.read.options(header=True, escape='"', multiLine=True).csv(path).columns, path)
+    return _known_first(parsed(records(spark, path), header))
+
+
+def _header(header: list[str], path: str) -> list[str]:
+    missing = [c for c in RAW_SCHEMA.names if c not in header]
     if missing:
         raise ValueError(f"Columns missing in {path}: {missing}")
-    text = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = reader.options(enforceSchema=False, mode="FAILFAST").schema(text).csv(path)
-    further = [c for c in header if c not in known]
-    return rows.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in (*known, *further)])
+    return header
+
+
+def _known_first(rows: DataFrame) -> DataFrame:
+    """Known columns, then further ones; missing tokens as null."""
+    order = [*RAW_SCHEMA.names, *[c for c in rows.columns if c not in RAW_SCHEMA.names]]
+    return rows.select(*[F.when(~F.col(f"`{c}`").isin(MISSING_TOKENS), F.col(f"`{c}`")).alias(c) for c in order])
 
 
 def load_processed(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA) -> DataFrame:

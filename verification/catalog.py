@@ -96,6 +96,11 @@ def load_raw(spark, sf):
     return cleaning.snake_case_columns(files.load_raw(spark, _raw_csv(spark, sf)))
 
 
+@query
+def load_raw_shared(spark, sf):
+    return cleaning.snake_case_columns(files.load_raw_shared(spark, _raw_csv(spark, sf)))
+
+
 @query
 def load_processed(spark, sf):
     path = work_path(spark, "processed")

@@ -489,6 +489,7 @@ def _answers() -> dict[str, str]:
     return {
         # sources and sinks
         "load_raw": _sql(R, f"SELECT {base} FROM raw"),
+        "load_raw_shared": _sql(R, f"SELECT {base} FROM raw"),
         "load_processed": _sql(L, f"SELECT {every} FROM listings"),
         "write_clean": _sql(clean_features, f"SELECT {every} FROM listings"),
         "write_labels": _sql([*clean_features, LABELS], "SELECT * FROM labels"),
