@@ -103,3 +103,17 @@ def test_limit_table_answers_every_limit(spark, library):
 
 def math_ceil(x):
     return -int(-x // 1)
+
+
+def test_pairs_by_the_seam_are_the_pairs_by_merging(encoder):
+    assert encoder.ordered
+    dice = random.Random(3)
+    often, every = sorted(encoder.whole.values())[:600], list(encoder.whole.values())
+    refused = 0
+    for k in range(20_000):
+        tokens = often if k % 2 else every
+        left, right = dice.choice(tokens), dice.choice(tokens)
+        want = encoder._apart_by_merging(left, right)
+        refused += not want
+        assert encoder._apart(left, right) == want
+    assert refused > 100

@@ -51,10 +51,24 @@ class Encoder:
         self.place = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
         # tokens that merging gives for their own bytes; others never occur inside a longer piece
-        whole = {token: rank for token, rank in self.rank.items() if self.merged(token) == [rank]}
+        self.parts: dict[int, tuple[int, int]] = {}
+        whole = {token: rank for token, rank in self.rank.items() if self._is_whole(token, rank)}
         self.whole = self.rank if len(whole) == len(self.rank) else whole
+        self.ordered = all(max(parts) < rank for rank, parts in self.parts.items())
+        self.reach: dict[bytes, int] = {}  # the longest token by its last three bytes
+        for token in self.whole:
+            if len(token) > self.reach.get(token[-3:], 2):
+                self.reach[token[-3:]] = len(token)
         self.forget()
 
+    def _is_whole(self, token: bytes, rank: int) -> bool:
+        if len(token) == 1:
+            return True
+        parts = self.merged(token, 2)
+        if len(parts) == 2:
+            self.parts[rank] = parts[0], parts[1]
+        return len(parts) == 2
+
     def forget(self) -> None:
         """Empty what is kept between pieces."""
         self._follows: dict[int, bool] = {}
@@ -62,10 +76,10 @@ class Encoder:
         self._older: dict[bytes, tuple[int, ...]] = {}
         self._held = 0
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Tokens by merging the lowest-ranked neighbours, the definition; for short strings."""
+    def merged(self, piece: bytes, least: int = 1) -> list[int]:
+        """Tokens by merging the lowest-ranked neighbours, the definition, down to ``least`` tokens; for short strings."""
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
+        while len(parts) > least:
             ranks = [self.rank.get(a + b) for a, b in zip(parts, parts[1:])]
             best = min((r for r in ranks if r is not None), default=None)
             if best is None:
@@ -78,14 +92,49 @@ class Encoder:
         """Whether merging the bytes of both tokens gives the two tokens."""
         if len(self._follows) >= PAIRS_KEPT:
             self._follows.clear()
-        found = self._follows[left << 32 | right] = self.merged(self.token[left] + self.token[right]) == [left, right]
+        apart = self._apart if self.ordered else self._apart_by_merging
+        found = self._follows[left << 32 | right] = apart(left, right)
         return found
 
+    def _apart_by_merging(self, left: int, right: int) -> bool:
+        return self.merged(self.token[left] + self.token[right]) == [left, right]
+
+    def _edge(self, token: int, side: int) -> list[int]:
+        """The tokens that merging makes one after the other at one end of a token, the last byte or first byte first."""
+        out = [token]
+        while token in self.parts:
+            token = self.parts[token][side]
+            out.append(token)
+        return out[::-1]
+
+    def _apart(self, left: int, right: int) -> bool:
+        """``may_follow`` by the merges that touch the seam only; parts need lower ranks than their token.
+
+        The two tokens at the seam grow in the order of ranks, as they do alone. They
+        stay apart if no pair of them that meets has a lower rank than the next merge
+        on either side; of equal ranks the one further left comes first.
+        """
+        token, rank = self.token, self.rank
+        before, after = self._edge(left, 1), self._edge(right, 0)
+        i = j = 0
+        while True:
+            grown_left = before[i + 1] if i + 1 < len(before) else 1 << 40
+            grown_right = after[j + 1] if j + 1 < len(after) else 1 << 40
+            joined = rank.get(token[before[i]] + token[after[j]])
+            if joined is not None and joined < grown_left and joined <= grown_right:
+                return False
+            if i + 1 == len(before) and j + 1 == len(after):
+                return True
+            if grown_left <= grown_right:
+                i += 1
+            else:
+                j += 1
+
     def last_tokens(self, data: bytes, last: list[int]) -> None:
         """Extend ``last``, the last token of each prefix, to all prefixes of ``data``."""
-        whole, follows, longest = self.whole, self._follows, self.longest
+        whole, follows, reach = self.whole, self._follows, self.reach
         for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach.get(data[max(0, end - 3):end], 2)), end):
                 token = whole.get(data[start:end])
                 if token is not None:
                     if not start:
