@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 _TINY = 1e-300
 _PRECISION = 1e-15
 _MAX_TERMS = 100_000
+_LARGE = 10_000.0  # beyond, differences of log-gamma lose digits and expansions are exact to the digits kept
+#: First coefficients in eta of the uniform expansion of the incomplete gamma function (Temme 1979)
+_TEMME_0 = (-1 / 3, 1 / 12, -2 / 135, 1 / 864, 1 / 2835, -139 / 777600, 1 / 25515)
+_TEMME_1 = (-1 / 540, -1 / 288, 1 / 378, -77 / 77760, 1 / 4860)
 
 
 def _continued_fraction(first: float, terms) -> float:
@@ -23,8 +27,8 @@ def _continued_fraction(first: float, terms) -> float:
         change = upper * lower
         value *= change
         if abs(change - 1.0) < _PRECISION:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"no result after {_MAX_TERMS} terms")
 
 
 def beta_share(x: float, a: float, b: float) -> float:
@@ -52,6 +56,8 @@ def gamma_tail(a: float, x: float) -> float:
     """Regularised upper incomplete gamma function."""
     if x <= 0.0:
         return 1.0
+    if a > _LARGE:
+        return _gamma_tail_large(a, x)
     log_front = a * math.log(x) - x - math.lgamma(a)
     if x < a + 1.0:
         term = total = 1.0 / a
@@ -59,18 +65,48 @@ def gamma_tail(a: float, x: float) -> float:
             term *= x / (a + n)
             total += term
             if term < total * _PRECISION:
-                break
-        return 1.0 - math.exp(log_front) * total
+                return 1.0 - math.exp(log_front) * total
+        raise ArithmeticError(f"no result after {_MAX_TERMS} terms")
     terms = ((-n * (n - a), x + 2 * n + 1 - a) for n in range(1, _MAX_TERMS))
     return math.exp(log_front) / _continued_fraction(x + 1.0 - a, terms)
 
 
+def _gamma_tail_large(a: float, x: float) -> float:
+    """``gamma_tail`` by the uniform expansion around ``x = a``: a normal tail and a correction."""
+    off = (x - a) / a
+    if abs(off) < 0.1:
+        half_square = math.fsum((-off) ** k / k for k in range(2, 20))  # off - log(1 + off) without cancelling
+    else:
+        half_square = off - math.log(x / a)
+    eta = math.copysign(math.sqrt(2.0 * half_square), off)
+    if abs(eta) < 0.1:
+        first = sum(c * eta ** k for k, c in enumerate(_TEMME_0))
+        second = sum(c * eta ** k for k, c in enumerate(_TEMME_1))
+    else:
+        first = 1.0 / off - 1.0 / eta
+        second = 1.0 / eta ** 3 - 1.0 / off ** 3 - 1.0 / off ** 2 - 1.0 / (12.0 * off)
+    correction = math.exp(-a * half_square) / math.sqrt(2.0 * math.pi * a) * (first + second / a)
+    return 0.5 * math.erfc(eta * math.sqrt(a / 2.0)) + correction
+
+
+def _normal_of_t(t: float, df: float) -> float:
+    """The normal deviate with the tail of ``t``, for many degrees of freedom (Hill 1970)."""
+    a = df - 0.5
+    b = 48.0 * a * a
+    square = a * math.log1p(t / df * t)
+    z = math.sqrt(square)
+    last = (((4.0 * square + 33.0) * square + 240.0) * square + 855.0) / (10.0 * b * (b + 0.8 * square * square + 100.0))
+    return z * (1.0 + (square + 3.0) / b - last)
+
+
 def t_two_sided(t: float, df: float) -> float:
     """Two-sided tail of Student's t; missing input or no degrees of freedom gives NaN."""
     if math.isnan(t) or math.isnan(df) or df <= 0:
         return math.nan
     if math.isinf(t):
         return 0.0
+    if df > _LARGE:
+        return math.erfc(_normal_of_t(abs(t), df) / math.sqrt(2.0))
     return beta_share(df / (df + t * t), df / 2.0, 0.5)
 
 
