@@ -1,10 +1,11 @@
 """Line runs, near copies and test passages against plain Python."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
-from llm_brute import dedup_lines, near_groups, test_hits
+from llm_brute import LETTERS, dedup_lines, lower, near_groups, test_hits
 
 from venuegrid.llm import decontamination, line_dedup, ngram_join
 
@@ -144,8 +145,6 @@ def test_test_passages(spark, block_bytes):
     for r in rows:
         text = dict(docs)[r.doc_id]
         if r.m.longest:
-            from llm_brute import LETTERS, lower
-
             w = LETTERS.findall(lower(text))
             run = w[r.m.longest_at:r.m.longest_at + r.m.longest]
             owners = [LETTERS.findall(lower(t)) for i, t in items if (None if i is None else str(i)) == r.m.longest_item]
@@ -161,3 +160,44 @@ def test_empty_tables_of_passages(spark):
     assert decontamination.with_matches(frame(spark, docs).limit(0), bench).count() == 0
     rows = decontamination.with_matches(frame(spark, docs), bench.limit(0)).collect()
     assert len(rows) == len(docs) and not any(r.contamination.spans for r in rows)
+
+
+def longest_match(text, items):
+    """(words, first place, id of the first item in order of id and text) by trying every pair of places."""
+    words, best = LETTERS.findall(lower(text)), (0, None, None)
+    for item, item_text in sorted(((None if i is None else str(i), t) for i, t in items if t), key=lambda x: (x[0] is not None, x[0] or "", x[1])):
+        w = LETTERS.findall(lower(item_text))
+        for a in range(len(words)):
+            for b in range(len(w)):
+                size = 0
+                while a + size < len(words) and b + size < len(w) and words[a + size] == w[b + size]:
+                    size += 1
+                if size >= min(10, len(w)) and (size > best[0] or (size == best[0] and a < best[1])):
+                    best = (size, a, item)
+    return best
+
+
+@pytest.mark.parametrize("seed, words", [(1, 2), (2, 30)])
+def test_longest_matches(spark, seed, words):
+    draw = random.Random(seed)
+    intro = sentence(draw, 12, words)
+    items = [(k, f"{intro if k % 2 else ''} {sentence(draw, draw.choice([2, 10, 25]), words)}") for k in range(14)]
+    items += [(20, items[3][1]), (21, items[3][1]), (None, items[5][1])]
+    docs = [(k, " ".join([sentence(draw, 6, words), draw.choice(items)[1], intro, sentence(draw, 6, words)])) for k in range(15)] + [(90, None), (91, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontamination.with_matches(frame(spark, docs), bench, into="m").collect()
+    assert {r.doc_id: (r.m.longest, r.m.longest_at, r.m.longest_item) for r in rows} == {i: longest_match(t, items) for i, t in docs}
+    assert {r.doc_id: r.m["items"] for r in rows} == {i: test_hits(t, items)[2] for i, t in docs}
+
+
+def test_many_equal_items_cost_one_search(spark):
+    """10,000 equal items of one word, and as many with one introduction, against long texts of these words."""
+    intro = " ".join(f"word{k}" for k in range(14))
+    items = [(k, "ring") for k in range(10_000)] + [(k + 10_000, f"{intro} end{k}") for k in range(10_000)]
+    docs = [(1, "ring " * 100_000), (2, f"{intro} end77 " * 200), (3, "word1 word2 clean")]
+    start = time.time()
+    rows = {r.doc_id: r.m for r in decontamination.with_matches(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), into="m").collect()}
+    assert time.time() - start < 60
+    assert len(rows[1]["items"]) == 10_000 and rows[1].spans == [0, 100_000] and (rows[1].longest, rows[1].longest_at) == (1, 0)
+    assert len(rows[2]["items"]) == 10_000 and rows[2].spans == [0, 3_000] and (rows[2].longest, rows[2].longest_item) == (15, "10077")
+    assert not rows[3].spans and rows[3].longest == 0

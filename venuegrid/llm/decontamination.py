@@ -1,8 +1,11 @@
 """Operator 10: documents that hold passages of test items, by suffix arrays of the training text.
 
 Each block of a task's documents gets a suffix array over its words (a shard).
-The suffixes of all test items are searched in it by bisection; the matches give
-the words that are hit, the items they come from, and the longest verbatim match.
+The suffixes of all test items are sorted too, and each distinct beginning of a window's
+length is searched in the shard once, by bisection; the occurrences give the words that
+are hit and the items they come from. Each occurrence is then looked up among the item
+suffixes behind it, which gives the longest verbatim match. So neither equal items nor
+a passage that many items share multiply the work.
 The test items are a stated query set: they go to the tasks in blocks of bounded
 size, and the documents pass through one scan per block without a shuffle.
 """
@@ -37,25 +40,70 @@ RESULT = T.StructType([
 
 @dataclass
 class Queries:
-    """Words of all test items in order; ``item`` names the item of each word, ``left`` the words up to its item's end."""
+    """The distinct windows of all test items, and the item suffixes that begin with each.
 
-    code: np.ndarray
-    item: np.ndarray
-    left: np.ndarray
-    starts: np.ndarray  # words at which a window begins
-    width: np.ndarray  # its number of words
+    ``ranks`` holds the places in ``alphabet`` of all item words in order, each item
+    closed by a mark beyond all words. The suffixes at which a window begins are
+    listed in sorted order, so those of one window are neighbours.
+    """
+
+    ranks: np.ndarray
+    alphabet: np.ndarray
+    start: np.ndarray  # position in ``ranks`` of each sorted suffix
+    item: np.ndarray  # its item
+    shared: np.ndarray  # words it shares with the suffix before it
+    first: np.ndarray  # first suffix of each window, and the end
+    width: np.ndarray  # words of each window
+    owners: np.ndarray  # number of the window's set of items in ``sets``
+    sets: list[np.ndarray]
     names: list
+    depth: int  # words of the longest item
 
 
 def test_queries(ids: list, texts: list, window: int) -> Queries:
     """Windows of ``window`` words; an item of fewer words is one window."""
     words = split_words(*text_buffers(pa.array(texts, pa.string())), kind="letters")
     size = np.diff(words.first)
+    depth = int(size.max(initial=1))
+    items = suffix_array(words, max(depth, window) + 1)
     left = np.repeat(words.first[1:], size) - np.arange(len(words.code))
     length = np.repeat(size, size)
-    short = (length < window) & (left == length)
-    starts = np.flatnonzero((left >= window) | short)
-    return Queries(words.code, words.text, left, starts, np.minimum(left, window)[starts], ids)
+    begins = (left >= window) | ((length < window) & (left == length))
+    place = items.order[items.ranks[items.order] < len(items.alphabet)]
+    place = place[begins[items.word[place]]]
+    word = items.word[place]
+    item, width = words.text[word], np.minimum(left[word], window)
+    shared = np.zeros(len(place), np.int64)
+    shared[1:], _ = _compare(items.ranks, place[:-1], items.ranks, place[1:], shared[1:])
+    new = np.ones(len(place), bool)
+    new[1:] = (shared[1:] < width[1:]) | (width[1:] != width[:-1])
+    first = np.append(np.flatnonzero(new), len(place))
+    owners, sets = _owner_sets(item, first, np.array([i is not None for i in ids], bool))
+    return Queries(items.ranks, items.alphabet, place, item, shared, first, width[first[:-1]], owners, sets, ids, depth)
+
+
+def _owner_sets(item: np.ndarray, first: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The named items of each window; windows with the same items share one set."""
+    n = max(1, len(named))
+    window = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    known = named[item] if len(item) else np.zeros(0, bool)
+    pairs = np.unique(window[known] * n + item[known])
+    ends = np.searchsorted(pairs, np.arange(len(first)) * n)
+    owner, numbers = pairs % n, {}
+    owners = [numbers.setdefault(owner[a:b].tobytes(), len(numbers)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    return np.array(owners, np.int64), [np.frombuffer(key, owner.dtype) for key in numbers]
+
+
+def _compare(mine: np.ndarray, at: np.ndarray, theirs: np.ndarray, start: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words two suffixes share, ``known`` of them beforehand, and whether the second one is the smaller.
+
+    Their marks differ, so no comparison runs past an end.
+    """
+    shared, open_ = known.copy(), np.arange(len(at))
+    while len(open_):
+        open_ = open_[mine[at[open_] + shared[open_]] == theirs[start[open_] + shared[open_]]]
+        shared[open_] += 1
+    return shared, theirs[start + shared] < mine[at + shared]
 
 
 @dataclass
@@ -132,30 +180,28 @@ def _search(shard: Shard, query: np.ndarray, starts: np.ndarray, width: np.ndarr
         high[live[~below]] = middle[~below]
 
 
-def _block_matches(offsets: np.ndarray, data: np.ndarray, queries: Queries, depth: int):
-    """(words, text and word of each occurrence, window of it) of a block."""
-    words = split_words(offsets, data, "letters")
-    none = np.zeros(0, np.int64)
-    if not len(words.code) or not len(queries.starts):
-        return words, None, none, none, none
-    shard = suffix_array(words, depth)
-    spot = np.searchsorted(shard.alphabet, queries.code)
-    known = shard.alphabet[np.minimum(spot, len(shard.alphabet) - 1)] == queries.code
-    query = np.where(known, spot, -1)
-    missing = np.concatenate([[0], np.cumsum(~known)])
-    live = np.flatnonzero(missing[queries.starts + queries.width] == missing[queries.starts])
+def _block_matches(words: Words, queries: Queries):
+    """(shard, place of each occurrence, window of it) of a block."""
+    shard = suffix_array(words, queries.depth)
+    spot = np.searchsorted(shard.alphabet, queries.alphabet)
+    known = shard.alphabet[np.minimum(spot, len(shard.alphabet) - 1)] == queries.alphabet
+    query = np.append(np.where(known, spot, -1), -1)[np.minimum(queries.ranks, len(queries.alphabet))]
+    missing = np.concatenate([[0], np.cumsum(query < 0)])
+    start = queries.start[queries.first[:-1]]
+    live = np.flatnonzero(missing[start + queries.width] == missing[start])
     if not len(live):
-        return words, shard, none, none, query
-    starts, width = queries.starts[live], queries.width[live]
-    low = _search(shard, query, starts, width, above=False)
-    count = _search(shard, query, starts, width, above=True) - low
-    at = shard.order[ragged(low, count)]
-    return words, shard, at, np.repeat(live, count), query
+        return shard, live, live
+    low = _search(shard, query, start[live], queries.width[live], above=False)
+    count = _search(shard, query, start[live], queries.width[live], above=True) - low
+    return shard, shard.order[ragged(low, count)], np.repeat(live, count)
 
 
-def _annotate(offsets, data, queries: Queries, depth: int) -> pa.StructArray:
-    words, shard, at, which, query = _block_matches(offsets, data, queries, depth)
+def _annotate(offsets, data, queries: Queries) -> pa.StructArray:
+    words = split_words(offsets, data, "letters")
     texts, n = len(offsets) - 1, len(words.code)
+    shard, at, which = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if n and len(queries.start):
+        shard, at, which = _block_matches(words, queries)
     word = shard.word[at] if len(at) else at
     text = np.searchsorted(words.first, word, "right") - 1
     change = np.zeros(n + 1, np.int64)
@@ -172,42 +218,64 @@ def _annotate(offsets, data, queries: Queries, depth: int) -> pa.StructArray:
             stop = min(e, int(words.first[t + 1]))
             spans[t] += [int(b - words.first[t]), int(stop - words.first[t])]
             b = stop
-    items: list[list[str]] = [[] for _ in range(texts)]
+    items: list[set[str]] = [set() for _ in range(texts)]
     longest = [(0, None, None)] * texts
     if len(at):
-        owner = queries.item[queries.starts[which]]
-        for pair in np.unique(text * (len(queries.names) + 1) + owner):
-            name = queries.names[pair % (len(queries.names) + 1)]
-            if name is not None:
-                items[pair // (len(queries.names) + 1)].append(name)
+        for pair in np.unique(text * len(queries.sets) + queries.owners[which]).tolist():
+            items[pair // len(queries.sets)].update(queries.names[i] for i in queries.sets[pair % len(queries.sets)])
+        mine = _item_ranks(shard, queries)
         for cut in range(0, len(at), _PAIRS):
-            _longest(words, shard, query, queries, at[cut:cut + _PAIRS], which[cut:cut + _PAIRS], text[cut:cut + _PAIRS], longest)
+            _longest(words, shard, mine, queries, at[cut:cut + _PAIRS], which[cut:cut + _PAIRS], text[cut:cut + _PAIRS], longest)
     return pa.StructArray.from_arrays([
         pa.array(np.diff(words.first), pa.int64()),
         pa.array(spans, pa.list_(pa.int64())),
-        pa.array([sorted(set(names)) for names in items], pa.list_(pa.string())),
+        pa.array([sorted(names) for names in items], pa.list_(pa.string())),
         pa.array([x[0] for x in longest], pa.int64()),
         pa.array([x[1] for x in longest], pa.int64()),
         pa.array([x[2] for x in longest], pa.string()),
     ], names=RESULT.names)
 
 
-def _longest(words, shard, query, queries, at, which, text, longest) -> None:
-    """Extend each occurrence word by word and keep the longest of each text; ties: the first place, then the first item."""
-    start, length = queries.starts[which], queries.width[which].copy()
-    left = queries.left[start]
-    grow = np.flatnonzero(length < left)
-    while len(grow):
-        same = shard.ranks[at[grow] + length[grow]] == query[start[grow] + length[grow]]
-        grow = grow[same]
-        length[grow] += 1
-        grow = grow[length[grow] < left[grow]]
-    best = np.lexsort((queries.item[start], at, -length, text))
+def _item_ranks(shard: Shard, queries: Queries) -> np.ndarray:
+    """The words of a shard by twice their place among the items' words: unknown words lie between, text ends beyond all."""
+    spot = np.searchsorted(queries.alphabet, shard.alphabet)
+    known = queries.alphabet[np.minimum(spot, len(queries.alphabet) - 1)] == shard.alphabet
+    place = np.append(np.where(known, 2 * spot, 2 * spot - 1), np.iinfo(np.int64).max)
+    return place[np.minimum(shard.ranks, len(shard.alphabet))]
+
+
+def _longest(words, shard, mine, queries: Queries, at, which, text, longest) -> None:
+    """The longest match of each text; ties: the first place, then the first item.
+
+    Each occurrence of a window is looked up by bisection among the sorted item
+    suffixes that begin with it: one of its two neighbours there shares most words with it.
+    """
+    theirs = 2 * queries.ranks
+    begin, end, width = queries.first[which], queries.first[which + 1], queries.width[which]
+    low, high = begin.copy(), end.copy()
+    live = np.flatnonzero(high - low > 1)
+    while len(live):
+        middle = (low[live] + high[live]) >> 1
+        _, below = _compare(mine, at[live], theirs, queries.start[middle], width[live])
+        low[live[below]] = middle[below] + 1
+        high[live[~below]] = middle[~below]
+        live = live[low[live] < high[live]]
+    length, near = width.copy(), low.copy()
+    for candidate in (low - 1, low):
+        some = np.flatnonzero((candidate >= begin) & (candidate < end))
+        shared, _ = _compare(mine, at[some], theirs, queries.start[candidate[some]], width[some])
+        better = shared >= length[some]
+        length[some[better]], near[some[better]] = shared[better], candidate[some[better]]
+    best = np.lexsort((at, -length, text))
     _, first = np.unique(text[best], return_index=True)
-    for k in best[first]:
-        t = int(text[k])
-        if length[k] > longest[t][0]:
-            longest[t] = (int(length[k]), int(shard.word[at[k]] - words.first[t]), queries.names[queries.item[start[k]]])
+    for k in best[first].tolist():
+        t, size, place = int(text[k]), int(length[k]), int(shard.word[at[k]] - words.first[text[k]])
+        if size > longest[t][0] or (size == longest[t][0] and place < longest[t][1]):
+            # item suffixes that share as many words lie around the neighbour
+            cuts = np.flatnonzero(queries.shared[begin[k] + 1:end[k]] < size) + begin[k] + 1
+            after = np.searchsorted(cuts, near[k], "right")
+            a, b = cuts[after - 1] if after else begin[k], cuts[after] if after < len(cuts) else end[k]
+            longest[t] = (size, place, queries.names[queries.item[a:b].min()])
 
 
 def _blocks_of(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> list[DataFrame]:
@@ -237,8 +305,7 @@ def with_matches(
     for k, part in enumerate(_blocks_of(items, item_id, item_text, block_bytes)):
         rows = part.distinct().orderBy("id", "text").collect()  # at most about block_bytes
         queries = test_queries([r.id for r in rows], [r.text for r in rows], window)
-        depth = int(queries.left.max(initial=1))
-        shared = docs.sparkSession.sparkContext.broadcast((queries, depth))
+        shared = docs.sparkSession.sparkContext.broadcast(queries)
         name = into if k == 0 else f"{into}_{k}"
         while k and name.lower() in {c.lower() for c in docs.columns}:
             name += "_"
@@ -249,13 +316,13 @@ def with_matches(
 
 
 def _start(shared):
-    queries, depth = shared.value
-    return lambda offsets, data: _annotate(offsets, data, queries, depth)
+    queries = shared.value
+    return lambda offsets, data: _annotate(offsets, data, queries)
 
 
 def _merged(one: str, two: str):
     a, b = F.col(one), F.col(two)
-    better = b["longest"] > a["longest"]
+    better = (b["longest"] > a["longest"]) | ((b["longest"] == a["longest"]) & (b["longest_at"] < a["longest_at"]))
     return F.struct(
         a["n_words"].alias("n_words"),
         F.concat(a["spans"], b["spans"]).alias("spans"),
