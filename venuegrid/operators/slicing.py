@@ -19,7 +19,8 @@ def filter_by_label(listings: DataFrame, labels: DataFrame, cuisines: Sequence[s
     return listings.join(chosen, "restaurant_id", "left_semi")
 
 
-def _place_filters(df: DataFrame, **chosen: Sequence) -> DataFrame:
+def place_filters(df: DataFrame, **chosen: Sequence) -> DataFrame:
+    """Rows with one of the chosen values in each column; an empty choice means no filter."""
     for column, values in chosen.items():
         if values:
             df = df.where(F.col(column).isin(list(values)))
@@ -42,7 +43,7 @@ def slice_listings(
 
     So rows without a price band or rating leave the slice.
     """
-    df = _place_filters(listings, country_code=countries, currency=currencies, city=cities)
+    df = place_filters(listings, country_code=countries, currency=currencies, city=cities)
     df = df.where(F.col("price_range").isin(list(prices)) & F.col("aggregate_rating").between(*rating))
     if booking:
         df = df.where(F.col("has_table_booking") == booking)
@@ -64,9 +65,9 @@ def option_lists(
     cities: Sequence[str] = (),
 ) -> DataFrame:
     """What can still be chosen in each filter, given the choices before it."""
-    in_country = _place_filters(listings, country_code=countries)
-    in_currency = _place_filters(in_country, currency=currencies)
-    in_city = _place_filters(in_currency, city=cities)
+    in_country = place_filters(listings, country_code=countries)
+    in_currency = place_filters(in_country, currency=currencies)
+    in_city = place_filters(in_currency, city=cities)
     offered = {
         "country_code": listings, "currency": in_country, "city": in_currency,
         "cuisine": slice_labels(labels, in_city),

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from venuegrid.operators import (
-    cleaning, features, geo, labels, market, pricing, quality, ratings, report, scoring, services, slicing, statistics,
+    cleaning, features, geo, labels, market, pricing, quality, ratings, report, rollup, scoring, services, slicing, statistics,
 )
-from venuegrid.plans import publish
+from venuegrid.plans import buckets, publish
 from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA, SERVICE_FLAGS
 from venuegrid.session import scratch, settle, work_path
 from venuegrid.sources import files
@@ -495,3 +495,46 @@ def sliced_label_opportunities(spark, sf):
     tables = b.listing_tables(spark, sf)
     rows = slicing.slice_listings(tables.listings, currencies=["BUILDING", "MACHINERY"], delivery="No")
     return scoring.label_opportunities(rows, slicing.slice_labels(tables.labels, rows), minimum=30)
+
+
+# ---- roll-ups and bucketed tables ---------------------------------------------
+
+#: buckets of the test tables; a cluster takes as many as its tables need
+BUCKETS = 8
+_CELL_SLICE = {k: v for k, v in _SLICE.items() if k != "cuisines"}
+
+
+@query
+def rollup_summary(spark, sf):
+    cells = rollup.write_rollup(b.listing_tables(spark, sf).listings, work_path(spark, "rollup"))
+    return rollup.rollup_summary(rollup.slice_rollup(cells, **_CELL_SLICE))
+
+
+@query
+def rollup_counts(spark, sf):
+    """Listings under ids that repeat, so that distinct listings are fewer than rows."""
+    rows = b.listing_tables(spark, sf).listings.withColumn("restaurant_id", F.floor(F.col("restaurant_id") / 64))
+    cells = rollup.write_rollup(rows, work_path(spark, "rollup"))
+    return rollup.rollup_counts(rollup.slice_rollup(cells, currencies=["BUILDING", "MACHINERY"], delivery="No"), ["country_code", "city"])
+
+
+@query
+def rollup_option_lists(spark, sf):
+    cells = rollup.write_rollup(b.listing_tables(spark, sf).listings, work_path(spark, "rollup"))
+    return rollup.rollup_option_lists(cells, countries=[0, 1], currencies=["BUILDING"])
+
+
+def _bucketed(spark: SparkSession, sf: str) -> publish.Tables:
+    return buckets.write_bucketed(b.listing_tables(spark, sf), work_path(spark, "buckets"), BUCKETS)
+
+
+@query
+def bucketed_label_currency_join(spark, sf):
+    tables = _bucketed(spark, sf)
+    return labels.label_currency_join(tables.labels, tables.listings, minimum=178)
+
+
+@query
+def bucketed_slice_labels(spark, sf):
+    tables = _bucketed(spark, sf)
+    return slicing.slice_labels(tables.labels, slicing.slice_listings(tables.listings, tables.labels, **_SLICE))

@@ -249,6 +249,27 @@ sliced AS (
       AND restaurant_id IN (SELECT restaurant_id FROM labels WHERE cuisine IN ('small ring', 'red widget'))
 )"""
 
+CELL_SLICED = """
+sliced AS (
+    SELECT * FROM listings
+    WHERE country_code IN (0, 1, 2) AND currency IN ('BUILDING', 'MACHINERY') AND price_range IN (1, 2, 3)
+      AND aggregate_rating BETWEEN 0.5 AND 4.9 AND has_table_booking = 'Yes' AND has_online_delivery = 'No'
+)"""
+
+LABEL_CURRENCY_JOIN = _sql(LL, f"""
+SELECT c.cuisine, r.currency, COUNT(DISTINCT r.restaurant_id) AS restaurant_count,
+       {mean("r.aggregate_rating", "r.is_rated")} AS average_rating,
+       {mean("r.average_cost_for_two", "r.average_cost_for_two > 0")} AS mean_local_cost
+FROM labels AS c JOIN listings AS r USING (restaurant_id) GROUP BY c.cuisine, r.currency
+HAVING COUNT(DISTINCT r.restaurant_id) >= 178""")
+
+OPTION_LISTS = _sql(LL, """
+SELECT DISTINCT 'country_code' AS filter_name, CAST(country_code AS VARCHAR) AS option_value FROM listings WHERE country_code IS NOT NULL
+UNION ALL SELECT DISTINCT 'currency', currency FROM listings WHERE country_code IN (0, 1) AND currency IS NOT NULL
+UNION ALL SELECT DISTINCT 'city', city FROM listings WHERE country_code IN (0, 1) AND currency = 'BUILDING' AND city IS NOT NULL
+UNION ALL SELECT DISTINCT 'cuisine', cuisine FROM labels WHERE restaurant_id IN (
+    SELECT restaurant_id FROM listings WHERE country_code IN (0, 1) AND currency = 'BUILDING')""")
+
 CITY_RANK = f"""
 SELECT *, CAST(DENSE_RANK() OVER (PARTITION BY country_code ORDER BY restaurants DESC) AS INTEGER) AS city_rank
 FROM (SELECT country_code, city, COUNT(*) AS restaurants, {RATED_MEAN} AS average_rating, CAST(SUM(votes) AS BIGINT) AS total_votes
@@ -746,12 +767,7 @@ SELECT city, cuisine, restaurants, associated_votes FROM (
     SELECT city, cuisine, COUNT(DISTINCT restaurant_id) AS restaurants, CAST(SUM(votes) AS BIGINT) AS associated_votes,
            RANK() OVER (PARTITION BY city ORDER BY COUNT(DISTINCT restaurant_id) DESC) AS k
     FROM labels GROUP BY city, cuisine) WHERE k <= 3"""),
-        "label_currency_join": _sql(LL, f"""
-SELECT c.cuisine, r.currency, COUNT(DISTINCT r.restaurant_id) AS restaurant_count,
-       {mean("r.aggregate_rating", "r.is_rated")} AS average_rating,
-       {mean("r.average_cost_for_two", "r.average_cost_for_two > 0")} AS mean_local_cost
-FROM labels AS c JOIN listings AS r USING (restaurant_id) GROUP BY c.cuisine, r.currency
-HAVING COUNT(DISTINCT r.restaurant_id) >= 178"""),
+        "label_currency_join": LABEL_CURRENCY_JOIN,
         "city_label_pivot": _sql([*LL, """c AS (SELECT city FROM listings GROUP BY city ORDER BY COUNT(*) DESC, city LIMIT 12
 ), k AS (SELECT cuisine FROM labels GROUP BY cuisine ORDER BY COUNT(*) DESC, cuisine LIMIT 12)"""], """
 SELECT city, cuisine, COUNT(DISTINCT restaurant_id) AS restaurants
@@ -807,15 +823,23 @@ SELECT {every} FROM listings WHERE price_range IN (1, 2, 3, 4) AND aggregate_rat
         "filter_by_label": _sql(LL, """
 SELECT restaurant_id, cuisines FROM listings WHERE restaurant_id IN (SELECT restaurant_id FROM labels WHERE cuisine = 'small ring')"""),
         "slice_labels": _sql([*LL, SLICED], "SELECT * FROM labels WHERE restaurant_id IN (SELECT restaurant_id FROM sliced)"),
-        "option_lists": _sql(LL, """
-SELECT DISTINCT 'country_code' AS filter_name, CAST(country_code AS VARCHAR) AS option_value FROM listings WHERE country_code IS NOT NULL
-UNION ALL SELECT DISTINCT 'currency', currency FROM listings WHERE country_code IN (0, 1) AND currency IS NOT NULL
-UNION ALL SELECT DISTINCT 'city', city FROM listings WHERE country_code IN (0, 1) AND currency = 'BUILDING' AND city IS NOT NULL
-UNION ALL SELECT DISTINCT 'cuisine', cuisine FROM labels WHERE restaurant_id IN (
-    SELECT restaurant_id FROM listings WHERE country_code IN (0, 1) AND currency = 'BUILDING')"""),
+        "option_lists": OPTION_LISTS,
         "sliced_city_rank": _sql([*LL, SLICED], CITY_RANK.format(rows="sliced")),
         "sliced_label_opportunities": _sql([*LL, """s AS (
     SELECT * FROM listings WHERE currency IN ('BUILDING', 'MACHINERY') AND has_online_delivery = 'No'
        AND price_range IN (1, 2, 3, 4) AND aggregate_rating BETWEEN 0 AND 4.9
 ), sl AS (SELECT * FROM labels WHERE restaurant_id IN (SELECT restaurant_id FROM s))"""], _opportunities("s", "sl", 30)),
+        # roll-ups and bucketed tables
+        "rollup_summary": _sql([*LL, CELL_SLICED], f"""
+SELECT COUNT(DISTINCT restaurant_id) AS restaurants, COUNT(DISTINCT country_code) AS countries, COUNT(DISTINCT city) AS cities,
+       CAST(COALESCE(SUM(votes), 0) AS BIGINT) AS total_votes, {RATED_MEAN} AS average_rating, COUNT(*) FILTER (WHERE is_rated) AS rated_restaurants,
+       (SELECT COUNT(DISTINCT cuisine) FROM labels WHERE restaurant_id IN (SELECT restaurant_id FROM sliced)) AS cuisines FROM sliced"""),
+        "rollup_counts": _sql(L, f"""
+SELECT country_code, city, COUNT(*) AS listing_rows, COUNT(DISTINCT restaurant_id // 64) AS restaurants,
+       COUNT(*) FILTER (WHERE is_rated) AS rated_restaurants, CAST(SUM(votes) AS BIGINT) AS total_votes, {RATED_MEAN} AS average_rating
+FROM listings WHERE currency IN ('BUILDING', 'MACHINERY') AND has_online_delivery = 'No' AND price_range IN (1, 2, 3, 4)
+    AND aggregate_rating BETWEEN 0 AND 4.9 GROUP BY country_code, city"""),
+        "rollup_option_lists": OPTION_LISTS,
+        "bucketed_label_currency_join": LABEL_CURRENCY_JOIN,
+        "bucketed_slice_labels": _sql([*LL, SLICED], "SELECT * FROM labels WHERE restaurant_id IN (SELECT restaurant_id FROM sliced)"),
     }
