@@ -20,7 +20,7 @@ from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA, SERVICE_FLAGS
 from venuegrid.session import scratch, settle, work_path
 from venuegrid.sources import files
 from verification import bindings as b
-from verification.oracle import MEAN_DIGITS, OFF_HALF
+from verification.oracle import MEAN_DIGITS, RATING_MEANS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -72,13 +72,10 @@ def queries() -> dict[str, Query]:
 
 
 def _compared(run: Query) -> Query:
-    """Means, and what is computed from them, to the digits that are compared."""
+    """Means of ratings, and what is computed from them, to the digits that are compared; all else as the operator gives it."""
     def rounded_means(spark: SparkSession, sf: str) -> DataFrame:
         frame = run(spark, sf)
-        means = {
-            c: F.round(F.col(c) + OFF_HALF if digits == 4 else F.col(c), digits)
-            for c, digits in MEAN_DIGITS.items() if c in frame.columns
-        }
+        means = {c: F.round(c, MEAN_DIGITS) for c in RATING_MEANS if c in frame.columns}
         return frame.withColumns(means) if means else frame
     return rounded_means
 

@@ -19,7 +19,7 @@ per_order AS (
            (o_orderkey * 7919 % 361 - 180)::DOUBLE AS longitude,
            (o_orderkey * 104729 % 181 - 90)::DOUBLE AS latitude,
            cuisines,
-           CASE WHEN o_orderkey % 500 = 0 THEN 0::DOUBLE ELSE o_totalprice END AS average_cost_for_two,
+           CASE WHEN o_orderkey % 500 = 0 THEN 0::DOUBLE ELSE FLOOR(o_totalprice * 4) / 4 END AS average_cost_for_two,
            c_mktsegment AS currency,
            CASE WHEN flag = 'R' THEN 'Yes' WHEN flag IS NOT NULL THEN 'No' END AS has_table_booking,
            CASE o_orderstatus WHEN 'F' THEN 'Yes' WHEN 'O' THEN 'No' END AS has_online_delivery,
@@ -191,21 +191,15 @@ def mean(x: str, where: str | None = None) -> str:
     return f"AVG({x})" + (f" FILTER (WHERE {where})" if where else "")
 
 
-# Digits to which means, and what is computed from them, are compared. Money has two
-# decimals, so its means often end in a half at the last digit; a shift keeps them off it.
-OFF_HALF = 0.0000123456
-MEAN_DIGITS = {
-    "average_rating": 9, "market_rating": 9, "rating_gap": 9, "opportunity_score": 9, "mean_yes": 9, "mean_no": 9,
-    "mean_cost": 4, "mean_cost_for_two": 4, "mean_local_cost": 4,
-}
+# Digits to which means of ratings, and what is computed from them, are compared: sums of tenths
+# differ in the last bits with their order. Costs are quarters, so their means need no rounding.
+MEAN_DIGITS = 9
+RATING_MEANS = ["average_rating", "market_rating", "rating_gap", "opportunity_score", "mean_yes", "mean_no"]
 
 
 def _compared(sql: str) -> str:
-    means = [c for c in MEAN_DIGITS if re.search(rf"\bAS {c}\b", sql)]
-    if not means:
-        return sql
-    shown = {c: f"{c} + {OFF_HALF:.10f}::DOUBLE" if MEAN_DIGITS[c] == 4 else c for c in means}
-    return f"SELECT * REPLACE ({', '.join(f'ROUND({x}, {MEAN_DIGITS[c]}) AS {c}' for c, x in shown.items())}) FROM ({sql})"
+    means = [c for c in RATING_MEANS if re.search(rf"\bAS {c}\b", sql)]
+    return f"SELECT * REPLACE ({', '.join(f'ROUND({c}, {MEAN_DIGITS}) AS {c}' for c in means)}) FROM ({sql})" if means else sql
 
 
 RATED_MEAN = mean("aggregate_rating", "is_rated")
