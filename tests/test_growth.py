@@ -19,10 +19,27 @@ def text_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def label_rows(spark, n):
+    return spark.range(n).select(
+        F.col("id").alias("restaurant_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("cuisine"),
+        F.when(F.col("id") % 7 > 0, (F.col("id") % 50) / 10).alias("aggregate_rating"), (F.col("id") % 90).alias("votes"),
+    )
+
+
 def test_tasks_follow_the_rows():
     assert [spreading.tasks_for(rows, 8, 100) for rows in (0, 800, 801, 100_000)] == [8, 8, 9, 1000]
 
 
+def test_labels_are_dealt_out_by_their_number(spark, monkeypatch):
+    rows = label_rows(spark, 4_000)
+    plain = rows.groupBy("cuisine").agg(F.count_distinct("restaurant_id").alias("n"), F.sum("votes").alias("v")).collect()
+    counted(monkeypatch, 100)
+    for operator in (labels.label_rating, labels.top_labels, labels.label_rating_topk):
+        assert re.search(r"hashpartitioning\(cuisine#\d+, restaurant_id#\d+L, 40\)", text_of(operator(rows)))
+    got = labels.label_rating(rows, 1).collect()
+    assert sorted(map(str, [(r.cuisine, r.restaurants, r.associated_votes) for r in got])) == sorted(map(str, [(r.cuisine, r.n, r.v) for r in plain]))
+
+
 def test_lines_are_dealt_out_before_their_names_are_gathered(spark, folder):
     plan = bindings._orders(spark, folder)._jdf.queryExecution().executedPlan().toString()
     gathered = [k for k, line in enumerate(plan.splitlines()) if "collect_set" in line]
