@@ -40,6 +40,22 @@ def test_labels_are_dealt_out_by_their_number(spark, monkeypatch):
     assert sorted(map(str, [(r.cuisine, r.restaurants, r.associated_votes) for r in got])) == sorted(map(str, [(r.cuisine, r.n, r.v) for r in plain]))
 
 
+def test_the_label_join_deals_out_both_tables(spark, monkeypatch):
+    counted(monkeypatch, 100)
+    rows = label_rows(spark, 2_000)
+    listings = rows.select("restaurant_id", F.lit("X").alias("currency"), "aggregate_rating", (F.col("aggregate_rating") > 0).alias("is_rated"), F.lit(2.0).alias("average_cost_for_two"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = labels.label_currency_join(rows, listings, 1, rows=2_000)
+        plan = text_of(joined)
+        assert len(re.findall(r"hashpartitioning\(restaurant_id#\d+L, 20\)", plan)) == 2
+        both = [found.withColumn("average_rating", F.round("average_rating", 9)).collect() for found in (joined, labels.label_currency_join(rows, listings, 1))]
+        assert sorted(map(str, both[0])) == sorted(map(str, both[1]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_lines_are_dealt_out_before_their_names_are_gathered(spark, folder):
     plan = bindings._orders(spark, folder)._jdf.queryExecution().executedPlan().toString()
     gathered = [k for k, line in enumerate(plan.splitlines()) if "collect_set" in line]
