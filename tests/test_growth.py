@@ -56,6 +56,17 @@ def test_the_label_join_deals_out_both_tables(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_buckets_follow_the_label_rows(spark, folder, monkeypatch):
+    tables = Tables(spark.range(10), spark.range(95))
+    counted(monkeypatch, 10)
+    assert buckets.buckets_for(tables, 8) == 10 and buckets.buckets_for(tables, 12) == 12
+    counted(monkeypatch, 5_000)
+    made = []
+    monkeypatch.setattr(catalog.buckets, "write_bucketed", lambda tables, path, n: made.append(n) or tables)
+    catalog._bucketed(spark, folder)
+    assert made == [max(8, -(-bindings.listing_tables(spark, folder).labels.count() // 5_000))]
+
+
 def test_lines_are_dealt_out_before_their_names_are_gathered(spark, folder):
     plan = bindings._orders(spark, folder)._jdf.queryExecution().executedPlan().toString()
     gathered = [k for k, line in enumerate(plan.splitlines()) if "collect_set" in line]

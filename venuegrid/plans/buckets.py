@@ -11,6 +11,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from venuegrid.functions.spread import tasks_for
 from venuegrid.plans.publish import Tables
 from venuegrid.schema import LABEL_SCHEMA, LISTING_SCHEMA
 from venuegrid.sources import folders
@@ -24,6 +25,11 @@ def _place(path: str, name: str, buckets: int) -> str:
     return f"{path.rstrip('/')}/{name}-by-{KEY}-{buckets}"
 
 
+def buckets_for(tables: Tables, least: int) -> int:
+    """``least`` buckets, or as many as hold ``TASK_ROWS`` label rows each: one task sorts a whole bucket."""
+    return tasks_for(max(tables.listings.count(), tables.labels.count()), least)
+
+
 def write_bucketed(tables: Tables, path: str, buckets: int) -> Tables:
     """Write both tables below ``path`` in ``buckets`` buckets and open them; a bucket should fit a task's memory."""
     spark = tables.listings.sparkSession
@@ -31,7 +37,8 @@ def write_bucketed(tables: Tables, path: str, buckets: int) -> Tables:
         place = _place(path, name, buckets)
         spark.sql(f"DROP TABLE IF EXISTS {_table(place)}")
         rows = getattr(tables, name).select(*schema.names).repartition(buckets, KEY)
-        rows.write.format("parquet").mode("overwrite").bucketBy(buckets, KEY).sortBy(KEY).option("path", place).saveAsTable(_table(place))
+        writer = rows.write.format("parquet").mode("overwrite").bucketBy(buckets, KEY).sortBy(KEY)
+        writer.options(path=place, compression=folders.COMPRESSION).saveAsTable(_table(place))
     return load_bucketed(spark, path, buckets)
 
 
