@@ -67,6 +67,19 @@ def test_buckets_follow_the_label_rows(spark, folder, monkeypatch):
     assert made == [max(8, -(-bindings.listing_tables(spark, folder).labels.count() // 5_000))]
 
 
+def test_correlations_store_a_line_for_each_listing(spark, monkeypatch):
+    """Not one for each family that a listing belongs to."""
+    rows = spark.range(200).select(
+        (F.col("id") * 3).alias("votes"), (1 + F.col("id") % 40 / 10).alias("aggregate_rating"), F.lit("X").alias("currency"),
+        (F.col("id") + 0.25).alias("average_cost_for_two"), F.lit(True).alias("is_rated"),
+    )
+    stored, write = [], statistics.settle
+    monkeypatch.setattr(statistics, "settle", lambda frame, name: stored.append(frame) or write(frame, name))
+    lines = statistics.rank_correlations(rows).collect()
+    assert [frame.count() for frame in stored] == [200]
+    assert {(r.variable_x, r.variable_y, r.n) for r in lines} == {(*family, 200) for family in statistics.FAMILIES}
+
+
 def test_lines_are_dealt_out_before_their_names_are_gathered(spark, folder):
     plan = bindings._orders(spark, folder)._jdf.queryExecution().executedPlan().toString()
     gathered = [k for k, line in enumerate(plan.splitlines()) if "collect_set" in line]
