@@ -86,3 +86,29 @@ def test_lines_are_dealt_out_before_their_names_are_gathered(spark, folder):
     dealt = next(k for k, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(l_orderkey" in line)
     assert gathered and max(gathered) < dealt  # a plan reads from the last step to the first
     assert "n_name" not in plan
+
+
+def test_charts_count_listings_without_distinct_counts(spark, tmp_path):
+    """A listing that repeats, changes its city or has no id counts once, several times and never."""
+    from venuegrid.plans import charts
+
+    rows = [("a", "x", 1, 4.0), ("a", "x", 1, 4.0), ("a", "y", 1, 0.0), ("a", "y", 2, 0.0), ("a", "x", None, 3.0), ("a", None, 3, 1.0), ("b", "x", 1, None)]
+    labels_ = spark.createDataFrame(rows * 2, "cuisine string, city string, restaurant_id long, aggregate_rating double")
+    cells = charts._label_cells(labels_)
+    assert not re.search(r"Exchange.*\n.*Window", text_of(cells))
+    per = {r.cuisine: (r.n, r.rated) for r in cells.groupBy("cuisine").agg(
+        F.sum("listing").alias("n"), F.sum(F.when(F.col("rated") > 0, F.col("listing"))).alias("rated")).collect()}
+    want = {r.cuisine: (r.n, r.rated) for r in labels_.groupBy("cuisine").agg(
+        F.count_distinct("restaurant_id").alias("n"),
+        F.count_distinct(F.when(F.col("aggregate_rating") > 0, F.col("restaurant_id"))).alias("rated")).collect()}
+    assert per["a"] == want["a"] == (3, 2) and per["b"][0] == want["b"][0] == 1
+    listings = spark.range(60).select(
+        (F.col("id") % 20).alias("restaurant_id"), F.lit(1).alias("country_code"), F.concat(F.lit("t"), F.col("id") % 3).alias("city"), F.lit(1.0).alias("longitude"),
+        F.lit(2.0).alias("latitude"), F.lit(5.0).alias("average_cost_for_two"), F.lit("X").alias("currency"), F.lit("Yes").alias("has_table_booking"),
+        F.lit("No").alias("has_online_delivery"), F.lit(2).alias("price_range"), F.lit(3.0).alias("aggregate_rating"), F.lit(7).cast("bigint").alias("votes"),
+        F.lit(True).alias("is_rated"), F.lit("Good").alias("rating_category"),
+    )
+    lines = charts.chart_lines(listings, labels_, label_least=1, city_least=1, cost_least=1)
+    assert "count(distinct" not in lines._jdf.queryExecution().analyzed().toString()
+    held = {r.label: r.restaurants for r in lines.where("chart = 'average_rating_by_city'").collect()}
+    assert held == {r.city: r.n for r in listings.groupBy("city").agg(F.count_distinct("restaurant_id").alias("n")).collect()}

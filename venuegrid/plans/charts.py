@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from venuegrid.functions.joins import null_safe_join
 from venuegrid.functions.ranks import LEAF_ROWS, quantiles, value_ranks
+from venuegrid.functions.spread import spread
 from venuegrid.schema import PRICE_BANDS, RATING_CATEGORIES
 from venuegrid.session import settle
 
@@ -43,11 +44,11 @@ def chart_lines(
         _best(_means(of("average_rating_by_city"), "label"), city_least), _panels(_means(of("cost_by_city_currency"), "label", "series"), cost_least),
         of("votes_vs_rating"), of("geographic_distribution"), _relative(of("relative_cost_vs_rating"), leaf_rows), _boxes(of("rating_by_digital_services"), leaf_rows),
     ]
-    counts = named.groupBy("cuisine").agg(F.count_distinct("id").alias("restaurants"), F.sum("n").alias("n"))
-    rated = named.where("rated > 0").groupBy("cuisine").agg(F.count_distinct("id").alias("restaurants"), (F.sum("total") / F.sum("rated")).alias("y"))
+    counts = named.groupBy("cuisine").agg(F.sum("listing").alias("restaurants"), F.sum("n").alias("n"))
+    rated = named.where("rated > 0").groupBy("cuisine").agg(F.sum("listing").alias("restaurants"), (F.sum("total") / F.sum("rated")).alias("y"))
     leading = counts.orderBy(F.desc("n"), "cuisine").limit(HEAT).select("cuisine")
     cities = _top(city, HEAT).select(F.col("label").alias("city"))
-    heat = named.join(leading, "cuisine", "left_semi").join(cities, "city", "left_semi").groupBy("city", "cuisine").agg(F.count_distinct("id").alias("restaurants"))
+    heat = named.join(leading, "cuisine", "left_semi").join(cities, "city", "left_semi").groupBy("city", "cuisine").agg(F.count("id").alias("restaurants"))
 
     def label(chart: str, df: DataFrame) -> DataFrame:
         return df.withColumn("chart", F.lit(chart))
@@ -92,10 +93,14 @@ def _cells(listings: DataFrame) -> DataFrame:
 
 
 def _label_cells(labels: DataFrame) -> DataFrame:
+    """A line for each label, city and listing; ``listing`` is 1 on one line of each label and listing, a rated one if there is any."""
     rating = F.col("aggregate_rating")
-    return labels.groupBy("cuisine", "city", F.col("restaurant_id").alias("id")).agg(
+    rows = spread(labels.select("cuisine", "city", F.col("restaurant_id").alias("id"), "aggregate_rating"), labels.count(), "cuisine", "id")
+    cells = rows.groupBy("cuisine", "city", "id").agg(
         F.count("*").alias("n"), F.count_if(rating > 0).alias("rated"), F.sum(F.when(rating > 0, rating)).alias("total"),
     )
+    lead = F.row_number().over(Window.partitionBy("cuisine", "id").orderBy(F.desc(F.col("rated") > 0), "city")) == 1
+    return cells.withColumn("listing", (lead & F.col("id").isNotNull()).cast("int"))
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
@@ -114,8 +119,8 @@ def _all_of(cells: DataFrame, chart: str, order: list[str]) -> DataFrame:
 
 
 def _means(df: DataFrame, *keys: str) -> DataFrame:
-    """Mean and distinct listings of each group, from sums by listing."""
-    return df.groupBy("chart", *keys).agg((F.sum("total") / F.sum("restaurants")).alias("y"), F.count_distinct("id").alias("restaurants"))
+    """Mean and distinct listings of each group, from sums by listing: a group has one line for each of its listings."""
+    return df.groupBy("chart", *keys).agg((F.sum("total") / F.sum("restaurants")).alias("y"), F.count("id").alias("restaurants"))
 
 
 def _panels(df: DataFrame, least: int) -> DataFrame:
