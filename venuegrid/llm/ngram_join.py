@@ -231,7 +231,9 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame
     wanted = scratch.settle(wanted.join(nodes, "node").select("node", F.xxhash64("rep").alias("key")), "wanted")
     bloom = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
     rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(partial(_wanted, bloom=bloom, width=width), "key long, node long, text string")
-    texts = scratch.settle(rows.join(wanted.hint("shuffle_hash"), ["key", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
+    # The keys are compared after a join by node alone, so that one shuffle of the texts serves the join and the choice of one text a node.
+    held = rows.join(wanted.select("node", F.col("key").alias("want")).hint("shuffle_hash"), "node").where(F.col("key").bitwiseXOR(F.col("want")) == 0)
+    texts = scratch.settle(held.dropDuplicates(["node"]).select("node", "text"), "texts")
     sides = pairs.hint("merge").join(texts.toDF("a", "text_a"), "a").hint("merge").join(texts.toDF("b", "text_b"), "b")
     return scratch.settle(sides.mapInArrow(partial(_verify, width=width), "a long, b long"), "verified"), pairs
 
